@@ -17,20 +17,28 @@ CHUNKING = "%d/%d" % (X.CHUNK_CHARS, X.CHUNK_OVERLAP)
 QUERY_BLOCK_BYTES = 8 << 20
 
 
+def _readable(content: DataFrame) -> DataFrame:
+    return content.filter(F.col("text").isNotNull() & F.col("sha256").isNotNull())
+
+
+def _one_path(content: DataFrame) -> DataFrame:
+    """One path per distinct content, from narrow columns only."""
+    return _readable(content).groupBy("sha256").agg(F.min("path").alias("path"))
+
+
 def chunks(content: DataFrame) -> DataFrame:
     """`sha256, ord, chunk`: one set per distinct content, blanks not counted.
 
-    Copies are removed on the hash alone and before any text is shuffled more
-    than once: the aggregate keeps one text per hash on the map side.
+    Which copy speaks for a hash is decided on (hash, path); the text is then
+    picked by a semi-join and never grouped.
     """
-    texts = (content.filter(F.col("text").isNotNull() & F.col("sha256").isNotNull())
-             .groupBy("sha256").agg(F.any_value("text").alias("text")))
+    texts = _readable(content).join(_one_path(content), ["sha256", "path"], "left_semi")
     return texts.select("sha256", F.posexplode(X.chunk_pieces("text")).alias("ord", "chunk"))
 
 
 def chunk_keys(content: DataFrame) -> DataFrame:
     """`sha256, ord` wanted by the content, without moving any text."""
-    sized = (content.filter(F.col("text").isNotNull() & F.col("sha256").isNotNull())
+    sized = (_readable(content)
              .select("sha256", F.size(X.chunk_pieces("text")).alias("n"))
              .groupBy("sha256").agg(F.max("n").alias("n")).filter(F.col("n") > 0))
     return sized.select("sha256", F.explode(F.sequence(F.lit(0), F.col("n") - F.lit(1)))
@@ -109,13 +117,20 @@ def hashing_model(dim: int = 384) -> Callable[[], Callable[[str], list[float]]]:
 def update_vectors(content: DataFrame, vectors: DataFrame, load_model, dim: int,
                    same_chunking: bool = True) -> DataFrame:
     """The next vector layer: kept ones plus new ones, orphans gone."""
-    pieces = chunks(content)
     if not same_chunking:
-        return encode(pieces, load_model, dim)
+        return encode(chunks(content), load_model, dim)
     keys = ["sha256", "ord"]
-    kept = vectors.join(pieces.select(*keys), keys, "left_semi")
-    todo = pieces.join(vectors.select(*keys), keys, "left_anti")
-    return kept.select(*keys, "vector").unionByName(encode(todo, load_model, dim))
+    wanted = chunk_keys(content)
+    kept = vectors.join(wanted, keys, "left_semi")
+    todo = wanted.join(vectors.select(*keys), keys, "left_anti")
+    # On a second run almost nothing is left to do, and then the texts to
+    # read are picked by a small side before any of them moves.
+    owners = _one_path(content).join(todo.select("sha256").distinct(), "sha256", "left_semi")
+    texts = _readable(content).join(owners, ["sha256", "path"], "left_semi")
+    pieces = (texts.select("sha256", F.posexplode(X.chunk_pieces("text"))
+                           .alias("ord", "chunk"))
+              .join(todo, keys, "left_semi"))
+    return kept.select(*keys, "vector").unionByName(encode(pieces, load_model, dim))
 
 
 def coverage(wanted: DataFrame, have: DataFrame) -> DataFrame:
