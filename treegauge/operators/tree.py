@@ -124,18 +124,21 @@ def seed_positions(rows: DataFrame, root: str, seed: int = 1337) -> DataFrame:
     offsets = placed.select("id", offset(F.col("index") * 2 + 1).alias("dx"),
                             offset(F.col("index") * 2 + 2).alias("dy"))
     parents = edges(rows, root).select(F.col("to").alias("id"), F.col("from").alias("parent"))
-    # The chain above a node follows from its own id and its parent's.
-    above = (placed.join(parents, "id", "left").select(
-        "id", F.explode(F.array_distinct(F.concat(
-            F.array(F.lit("")),
-            P.relative_ancestors("id"),
-            F.when(F.col("parent").isNotNull(), F.array("parent"))
-            .otherwise(F.array().cast("array<string>")),
-            F.array("id")))).alias("link")))
-    # A bucket's id holds its folder before the separator.
-    bucket_dirs = above.withColumn("link", F.col("link"))
-    return (bucket_dirs.join(offsets.withColumnRenamed("id", "link"), "link")
-            .groupBy("id").agg(F.sum("dx").alias("x"), F.sum("dy").alias("y")))
+    placed = placed.join(parents, "id", "left")
+    # Folders and buckets first: their chain follows from id and parent (a
+    # bucket's id holds its folder before the separator).
+    none = F.array().cast("array<string>")
+    inner = placed.filter(F.col("kind") != "file").select("id", F.explode(F.array_distinct(
+        F.concat(F.array(F.lit("")), P.relative_ancestors("id"),
+                 F.when(F.col("parent").isNotNull(), F.array("parent")).otherwise(none),
+                 F.array("id")))).alias("link"))
+    inner = (inner.join(offsets.withColumnRenamed("id", "link"), "link")
+             .groupBy("id").agg(F.sum("dx").alias("x"), F.sum("dy").alias("y")))
+    leaves = (placed.filter(F.col("kind") == "file").join(offsets, "id")
+              .join(inner.withColumnRenamed("id", "parent"), "parent")
+              .select("id", (F.col("x") + F.col("dx")).alias("x"),
+                      (F.col("y") + F.col("dy")).alias("y")))
+    return inner.unionByName(leaves)
 
 
 def extent(positions: DataFrame) -> DataFrame:
