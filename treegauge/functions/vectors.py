@@ -6,9 +6,10 @@ import numpy as np
 import pyarrow as pa
 
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DoubleType
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(DoubleType())
 def cosine(left: pa.Array, right: pa.Array) -> pa.Array:
     """Row-wise cosine of two equally wide vector columns, 0 for zero norms."""
     n = len(left)
@@ -30,7 +31,7 @@ def cosine_to(vector: Column, query: list[float]) -> Column:
     wanted = np.asarray(query, dtype="f8")
     scale = float(np.sqrt((wanted * wanted).sum()))
 
-    @F.arrow_udf("double")
+    @F.arrow_udf(DoubleType())
     def scored(batch: pa.Array) -> pa.Array:
         n = len(batch)
         if n == 0:
