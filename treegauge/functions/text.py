@@ -1,7 +1,7 @@
 """Tokenising, splitting, link extraction and chunking as expressions.
 
-The searchable form of a text is one string in which every token is wrapped in
-single spaces (`" tok  tok "`).  Token and phrase counts are then plain string
+The searchable form of a text is one string in which every token has two spaces
+on either side (`"  tok  tok  "`).  Token and phrase counts are then plain string
 replacement and stay inside generated code; no array of tokens is built unless
 an index is written.
 """
@@ -58,23 +58,22 @@ def fold_word(word: str) -> str:
 
 
 def searchable(text) -> Column:
-    """`"Ab-c d"` -> `" ab  c  d "`; empty text gives an empty string."""
-    spaced = F.trim(F.regexp_replace(fold(text), TOKEN_BREAK, "  "))
-    return F.when(spaced == "", F.lit("")).otherwise(
-        F.concat(F.lit(" "), spaced, F.lit(" ")))
+    """`"Ab-c d"` -> `"  ab  c  d  "`; empty text gives the two end spaces.
+
+    One expression without branches, so the text is folded once.
+    """
+    return F.regexp_replace(F.concat(F.lit(" "), fold(text), F.lit(" ")), TOKEN_BREAK, "  ")
 
 
 def token_count(form) -> Column:
-    """Tokens in a searchable string: half its spaces."""
+    """Tokens in a searchable string: its space pairs, less one."""
     form = _col(form)
-    return ((F.length(form) - F.length(F.replace(form, F.lit(" "), F.lit(""))))
-            / F.lit(2)).cast("int")
+    spaces = F.length(form) - F.length(F.replace(form, F.lit(" "), F.lit("")))
+    return F.shiftright(spaces, 1) - F.lit(1)
 
 
 def tokens(form) -> Column:
-    form = _col(form)
-    return F.when(form == "", F.array().cast("array<string>")).otherwise(
-        F.split(F.trim(form), "  ", -1))
+    return F.array_remove(F.split(F.trim(_col(form)), "  ", -1), "")
 
 
 def occurrences(form, phrase: list[str]) -> Column:
@@ -126,12 +125,17 @@ BOUNDARIES = (
     r"(?<=[a-z])(?=[A-Z])",
 )
 
-# Words that hold at least one inner boundary; anything else cannot split.
-_SPLITTABLE = (
-    r"[0-9A-Za-z_.\-/]*"
-    r"(?:[0-9A-Za-z][_.\-/]+[0-9A-Za-z]|[a-z][A-Z]|[A-Za-z][0-9]"
-    r"|[0-9][A-Za-z]|[A-Z][A-Z][a-z])"
-    r"[0-9A-Za-z_.\-/]*")
+WORD = r"[0-9A-Za-z_.\-/]+"
+
+# An inner boundary; a word without one cannot split.
+_SPLITS = (r"[0-9A-Za-z][_.\-/]+[0-9A-Za-z]|[a-z][A-Z]|[A-Za-z][0-9]"
+           r"|[0-9][A-Za-z]|[A-Z][A-Z][a-z]")
+
+
+def splittable_words(text) -> Column:
+    """Every word occurrence of `text` that comes apart."""
+    return F.filter(F.regexp_extract_all(_col(text), F.lit(WORD), F.lit(0)),
+                    lambda w: F.rlike(w, F.lit(_SPLITS)))
 
 
 def split_identifier(word) -> Column:
@@ -144,8 +148,7 @@ def split_identifier(word) -> Column:
 
 def symbol_tokens(text) -> Column:
     """Distinct sorted parts of every word in `text` that comes apart."""
-    words = F.array_distinct(F.regexp_extract_all(_col(text), F.lit(_SPLITTABLE),
-                                                  F.lit(0)))
+    words = F.array_distinct(splittable_words(text))
     parts = F.filter(F.transform(words, split_identifier), lambda p: F.size(p) > 1)
     return F.array_sort(F.array_distinct(F.flatten(parts)))
 

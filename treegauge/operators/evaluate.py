@@ -84,7 +84,7 @@ def splitting_queries(content: DataFrame, per_cause: int = 30) -> DataFrame:
     a separator splits.
     """
     word = (content.filter(F.col("text").isNotNull())
-            .select(F.explode(F.regexp_extract_all("text", F.lit(X._SPLITTABLE), F.lit(0)))
+            .select(F.explode(X.splittable_words("text"))
                     .alias("word")))
     parts = X.split_identifier("word")
     pieces = F.size(F.filter(F.split("word", r"[^0-9A-Za-z]+", -1), lambda p: p != ""))

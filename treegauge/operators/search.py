@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from ..functions import text as X
+from ..session import cut_lineage
 
 # The ranking parameters and the floor of the term weight.
 K1 = 1.2
@@ -38,8 +39,9 @@ def _weight(tf: Column, dl: Column, avgdl: Column) -> Column:
 def scored(content: DataFrame, query: str) -> DataFrame | None:
     """`path, rank, place` for every document that matches the whole query.
 
-    The text is read once.  What leaves the scan is a path and a few counts,
-    and both the corpus statistics and the scores read that same exchange.
+    The text is read once: what leaves the scan is a path and a few counts.
+    Those are written down, because both the corpus statistics and the scores
+    need them and the optimizer would otherwise tokenise the corpus twice.
     """
     phrases = X.query_phrases(query)
     if not phrases:
@@ -47,8 +49,8 @@ def scored(content: DataFrame, query: str) -> DataFrame | None:
     counted = prepared(content).select(
         "path", (X.token_count("t") + X.token_count("s")).alias("dl"),
         *[X.occurrences("t", p).alias("t%d" % i) for i, p in enumerate(phrases)],
-        *[X.occurrences("s", p).alias("s%d" % i) for i, p in enumerate(phrases)],
-    ).repartition("path")
+        *[X.occurrences("s", p).alias("s%d" % i) for i, p in enumerate(phrases)])
+    counted = cut_lineage(counted)
     each = range(len(phrases))
     hit = [F.col("t%d" % i) + F.col("s%d" % i) for i in each]
     stats = counted.agg(F.struct(

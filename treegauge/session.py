@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpoint files go when the frame that needed them is gone.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Sessions with a constant grouping key are merged before the shuffle.
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
@@ -50,3 +52,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                                   "treegauge-checkpoints-%d" % os.getpid())
         context.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Share rows out when a plain scan has fewer splits than there are cores.
+
+    A scan with splits enough is returned as it is, so large inputs are never
+    shuffled for this.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from treegauge.functions.content import sha256_hex
 from treegauge.operators.content import classify
 from treegauge.operators.scope import rule_mode
+from treegauge.session import spread
 
 # The moments of the two catalogue passes.
 PASS_1 = "1998-06-30"
@@ -249,7 +250,7 @@ class Inputs:
         return self.spark.read.parquet("%s/%s.parquet" % (self.folder, name))
 
     def docfiles(self) -> DataFrame:
-        d, l = self.table("documents"), self.table("labels")
+        d, l = spread(self.table("documents")), self.table("labels")
         ext = (F.when(F.col("quality").isNull(), ".md").when(F.col("quality") == 1, ".MD")
                .otherwise(".txt"))
         return d.join(l, "doc_id", "left").select(
