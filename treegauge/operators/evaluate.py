@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as X
 from .fusion import CUT
@@ -43,14 +43,16 @@ def problems(pairs: DataFrame, gold: DataFrame, corpus: DataFrame,
     """Every reason a question set cannot be scored: `qid, problem`.
 
     `pairs(qid, class, query)`, `gold(qid, target)`, `corpus(path)`,
-    `lexical(qid, path, position)`.  An empty answer means it can be scored.
+    `lexical(qid, path, rank)`, all hits.  An empty answer means it can be scored.
     """
     def say(df: DataFrame, problem: str) -> DataFrame:
         return df.select(F.col("qid").cast("string").alias("qid"), F.lit(problem).alias("problem"))
 
     hits = lexical.groupBy("qid").agg(F.count(F.lit(1)).alias("hits"))
-    on_target = (gold.join(lexical.filter(F.col("position") <= CUT)
-                           .withColumnRenamed("path", "target"), ["qid", "target"])
+    best = Window.partitionBy("qid").orderBy("rank", "path")
+    first = (lexical.withColumn("position", F.row_number().over(best))
+             .filter(F.col("position") <= CUT))
+    on_target = (gold.join(first.withColumnRenamed("path", "target"), ["qid", "target"])
                  .select("qid").distinct().withColumn("on_target", F.lit(True)))
     judged = pairs.join(hits, "qid", "left").join(on_target, "qid", "left")
     repeated = (pairs.groupBy("query").agg(F.min("qid").alias("first_qid"))
@@ -95,8 +97,6 @@ def splitting_queries(content: DataFrame, per_cause: int = 30) -> DataFrame:
                      .otherwise(F.lit("case")).alias("cause"),
                      F.array_join("parts", " ").alias("query"))
              .groupBy("cause", "query").agg(F.count(F.lit(1)).alias("n")))
-    from pyspark.sql import Window
-
     order = Window.partitionBy("cause").orderBy(F.desc("n"), "query")
     return (split.withColumn("place", F.row_number().over(order))
             .filter(F.col("place") <= per_cause))
@@ -106,16 +106,16 @@ def splitting_recall(content: DataFrame, asked: DataFrame) -> DataFrame:
     """`cause, queries, with_symbols, without_symbols`: split queries with a hit.
 
     All words of a query must occur in one document; without the symbols
-    column only the text may supply them.  One pass over the postings of the
-    asked words, joined on the word, combined per (query, document).
+    column only the text may supply them.  Tokens of the asked words are made
+    one row per (word, document) first, then combined per (query, document).
     """
-    from .search import postings
+    from .search import token_rows
 
     words = asked.select("cause", "query", F.explode(F.array_distinct(F.split("query", " ", -1)))
                          .alias("term"))
     needed = asked.select("cause", "query", F.size(F.array_distinct(F.split("query", " ", -1)))
                           .alias("needed"))
-    index = postings(content).join(words.select("term").distinct(), "term", "left_semi")
+    index = token_rows(content).join(words.select("term").distinct(), "term", "left_semi")
     per_doc = index.groupBy("term", "path").agg(
         F.bool_or(F.col("col") == "text").alias("in_text"))
     per_query = (words.join(per_doc, "term").groupBy("cause", "query", "path")

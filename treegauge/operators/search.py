@@ -78,22 +78,31 @@ def search(content: DataFrame, query: str, limit: int = 20) -> DataFrame:
 
 # -- the index --------------------------------------------------------------
 
+def token_rows(content: DataFrame) -> DataFrame:
+    """`path, col, pos, term`: every token of both columns, nothing shuffled."""
+    forms = prepared(content).select(
+        "path", F.explode(F.array(
+            F.struct(F.lit("text").alias("col"), F.col("t").alias("form")),
+            F.struct(F.lit("symbols").alias("col"), F.col("s").alias("form")))).alias("f"))
+    return forms.select("path", "f.col", F.posexplode(X.tokens("f.form")).alias("pos", "term"))
+
+
 def postings(content: DataFrame) -> DataFrame:
     """`term, path, col, positions`: one row per term, document and column.
 
     Positions are those of one document, so the list is as long as a document
     at most.  The key spreads a frequent term over all its documents.
     """
-    forms = prepared(content).select(
-        "path", F.explode(F.array(
-            F.struct(F.lit("text").alias("col"), F.col("t").alias("form")),
-            F.struct(F.lit("symbols").alias("col"), F.col("s").alias("form")))).alias("f"))
-    words = forms.select("path", "f.col", F.posexplode(X.tokens("f.form"))
-                         .alias("pos", "term"))
-    return words.groupBy("term", "path", "col").agg(
+    return token_rows(content).groupBy("term", "path", "col").agg(
         F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
+def term_documents(content: DataFrame) -> DataFrame:
+    """`term, path` once per document, made distinct inside the row."""
+    return prepared(content).select("path", F.explode(F.array_distinct(
+        F.concat(X.tokens("t"), X.tokens("s")))).alias("term"))
+
+
 def lengths(content: DataFrame) -> DataFrame:
     return prepared(content).select(
         "path", (X.token_count("t") + X.token_count("s")).alias("dl"))
@@ -184,33 +193,36 @@ def query_terms(queries: DataFrame) -> DataFrame:
                     F.posexplode("parts").alias("offset", "term")))
 
 
-def search_many(content: DataFrame, queries: DataFrame, depth: int = 50) -> DataFrame:
+def search_many(content: DataFrame, queries: DataFrame, depth: int | None = 50) -> DataFrame:
     """`qid, path, rank, position` for a table of queries.
 
-    Only documents that hold a query's rarest term can match it, so those are
-    the candidates, and every other look-up is by (document, term): no join
-    here is keyed on a frequent term alone.
+    Document frequencies are counted from distinct terms per row, so they
+    combine on the map side.  Only documents that hold a query's rarest term
+    can match it: those are the candidates, and every other look-up is keyed
+    by document.  No join here fans out on a frequent term.
     """
-    index = postings(content).select("term", "path", "col", "positions")
     terms = query_terms(queries)
-    used = index.join(terms.select("term").distinct(), "term", "left_semi")
-    df = used.groupBy("term").agg(F.count_distinct("path").alias("term_df"))
+    asked = terms.select("term").distinct()
+    df = (term_documents(content).join(asked, "term", "left_semi")
+          .groupBy("term").agg(F.count(F.lit(1)).alias("term_df")))
     rare = (terms.join(df, "term").groupBy("qid")
             .agg(F.min_by("term", F.struct("term_df", "term")).alias("term")))
-    candidates = rare.join(used.select("term", "path").distinct(), "term").select("qid", "path")
-    looked = (candidates.join(terms, "qid").join(used, ["path", "term"])
-              .select("qid", "path", "phrase", "n_tokens", "col", "offset",
-                      F.explode("positions").alias("pos")))
-    starts = (looked.groupBy("qid", "path", "phrase", "n_tokens", "col",
-                             (F.col("pos") - F.col("offset")).alias("start"))
+    candidates = cut_lineage(
+        term_documents(content).join(rare, "term").select("qid", "path").distinct())
+    tokens = token_rows(content).join(asked, "term", "left_semi")
+    looked = (tokens.join(candidates, "path").join(terms, ["qid", "term"])
+              .select("qid", "path", "phrase", "n_tokens", "col",
+                      (F.col("pos") - F.col("offset")).alias("start")))
+    starts = (looked.groupBy("qid", "path", "phrase", "n_tokens", "col", "start")
               .agg(F.count(F.lit(1)).alias("parts"))
               .filter(F.col("parts") == F.col("n_tokens")))
     tf = starts.groupBy("qid", "path", "phrase").agg(F.count(F.lit(1)).alias("tf"))
     # Document frequency of a phrase; of one token it is the term's own.
-    single = (terms.filter(F.col("n_tokens") == 1).join(df, "term")
-              .select("qid", "phrase", F.col("term_df").alias("df")))
-    longer = _phrase_df(terms.filter(F.col("n_tokens") > 1), used)
-    phrase_df = single.unionByName(longer)
+    phrase_df = (terms.filter(F.col("n_tokens") == 1).join(df, "term")
+                 .select("qid", "phrase", F.col("term_df").alias("df")))
+    longer = terms.filter(F.col("n_tokens") > 1)
+    if not longer.isEmpty():
+        phrase_df = phrase_df.unionByName(_phrase_df(longer, token_rows(content)))
     sizes = lengths(content)
     corpus = sizes.agg(F.struct(F.count("path").alias("n"), F.avg("dl").alias("avgdl"))).scalar()
     needed = terms.select("qid", "phrase").distinct().groupBy("qid").agg(
@@ -220,23 +232,22 @@ def search_many(content: DataFrame, queries: DataFrame, depth: int = 50) -> Data
             .groupBy("qid", "path").agg(F.sum(score).alias("rank"),
                                         F.count(F.lit(1)).alias("matched"))
             .join(needed, "qid").filter(F.col("matched") == F.col("n_phrases")))
+    if depth is None:
+        return hits.select("qid", "path", "rank")
     order = Window.partitionBy("qid").orderBy("rank", "path")
     return (hits.withColumn("position", F.row_number().over(order))
             .filter(F.col("position") <= depth)
             .select("qid", "path", "rank", "position"))
 
 
-def _phrase_df(terms: DataFrame, used: DataFrame) -> DataFrame:
+def _phrase_df(terms: DataFrame, tokens: DataFrame) -> DataFrame:
     """Documents that hold a multi-token phrase, counted per phrase.
 
-    Adjacent tokens are met pairwise per document: start from the first token's
-    documents and keep those where each next token follows.
+    A phrase starts where all its tokens, moved back by their offsets, meet.
     """
-    found = (terms.join(used, "term")
-             .select("qid", "phrase", "n_tokens", "path", "col",
-                     F.explode(F.transform("positions", lambda p: p - F.col("offset")))
-                     .alias("start"))
-             .groupBy("qid", "phrase", "n_tokens", "path", "col", "start")
+    found = (tokens.join(terms, "term")
+             .groupBy("qid", "phrase", "n_tokens", "path", "col",
+                      (F.col("pos") - F.col("offset")).alias("start"))
              .agg(F.count(F.lit(1)).alias("parts"))
              .filter(F.col("parts") == F.col("n_tokens")))
     return (found.select("qid", "phrase", "path").distinct()

@@ -501,6 +501,12 @@ def _(t):
         F.count_distinct("path").alias("docs"), F.sum(F.size("positions")).alias("uses"))
 
 
+@query("term_documents", with_ctes("docfiles", "coded", "symbols") +
+       "SELECT term, count(DISTINCT path) AS docs FROM tokens GROUP BY term")
+def _(t):
+    return se.term_documents(t.coded()).groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
+
+
 @query("index_state", with_ctes("docfiles", "raw", "layer") + """
 SELECT CASE WHEN indexed <> expected THEN 'stale' ELSE 'ok' END AS state, indexed, expected FROM (
   SELECT (SELECT count(*) FROM layer WHERE text IS NOT NULL) AS expected,
@@ -1018,7 +1024,7 @@ UNION ALL SELECT '*', 'class C is too small' FROM counts WHERE c < 20
 UNION ALL SELECT '*', 'the set is too small' FROM counts WHERE n < 60""")
 def _(t):
     pairs, gold = _gold(t)
-    lexical = se.search_many(_plain(t), pairs, 1 << 30)
+    lexical = se.search_many(_plain(t), pairs, None)
     return ev.problems(pairs, gold, t.docfiles().select("path"), lexical)
 
 
