@@ -301,7 +301,8 @@ def scope_sizes(files: DataFrame, projects: DataFrame,
     return (projects.select("project_id", "path").join(present, "path", "left")
             .join(counted, "project_id", "left")
             .select("project_id", F.when(
-                F.col("present"), F.coalesce("n", F.lit(0))).alias("scope_size")))
+                F.coalesce("present", F.col("n") > 0), F.coalesce("n", F.lit(0)))
+                .alias("scope_size")))
 
 
 def tree_states(dirs: DataFrame, rules: DataFrame,
