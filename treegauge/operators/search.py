@@ -142,8 +142,7 @@ def search_index(index: DataFrame, doc_lengths: DataFrame, query: str,
         starts = F.col("%s%d" % (col, terms.index(phrase[0])))
         for offset, term in enumerate(phrase[1:], start=1):
             other = F.col("%s%d" % (col, terms.index(term)))
-            starts = F.array_intersect(
-                starts, F.transform(other, lambda p, k=offset: p - F.lit(k)))
+            starts = F.array_intersect(starts, _moved_back(other, offset))
         return F.size(starts)
 
     each = range(len(phrases))
@@ -168,6 +167,10 @@ def search_index(index: DataFrame, doc_lengths: DataFrame, query: str,
             .orderBy("rank", "path").limit(limit))
 
 
+def _moved_back(positions: Column, by: int) -> Column:
+    return F.transform(positions, lambda p: p - F.lit(by))
+
+
 def index_state(content: DataFrame, index_paths: DataFrame | None) -> DataFrame:
     """`state, indexed, expected`; a missing index is not an empty answer."""
     expected = content.filter(F.col("text").isNotNull()).agg(
