@@ -12,7 +12,7 @@ def spark():
     from treegauge.session import build_session
 
     session = build_session("local[4]", **{
-        "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"})
+        "spark.sql.shuffle.partitions": "2", "spark.driver.memory": "4g"})
     yield session
     session.stop()
 

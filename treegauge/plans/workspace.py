@@ -31,6 +31,7 @@ class Workspace:
                  load_model: Callable | None = None, model: str = "", dim: int = 384):
         self.spark, self.folder = spark, folder.rstrip("/")
         self.load_model, self.model, self.dim = load_model, model, dim
+        self._facts: dict[str, dict[str, str]] = {}
 
     # -- meta and layers ----------------------------------------------------
 
@@ -39,6 +40,12 @@ class Workspace:
         rows = [(store, k, str(v), now + i) for i, (k, v) in enumerate(values.items())]
         (self.spark.createDataFrame(rows, "store string, key string, value string, seq bigint")
          .coalesce(1).write.mode("append").parquet(self.folder + "/meta"))
+        if store in self._facts:
+            self._facts[store].update({k: str(v) for k, v in values.items()})
+
+    def refresh(self) -> None:
+        """Forget remembered facts; another process may have written."""
+        self._facts.clear()
 
     def meta_rows(self) -> DataFrame:
         try:
@@ -48,9 +55,11 @@ class Workspace:
         return cat.latest_meta(rows)
 
     def meta(self, store: str) -> dict[str, str]:
-        """The few facts of one store."""
-        return {r["key"]: r["value"] for r in
-                self.meta_rows().filter(F.col("store") == store).toLocalIterator()}
+        """The few facts of one store, read once and kept up to date by writes."""
+        if store not in self._facts:
+            self._facts[store] = {r["key"]: r["value"] for r in self.meta_rows().filter(
+                F.col("store") == store).toLocalIterator()}
+        return dict(self._facts[store])
 
     def has(self, store: str, layer: str) -> bool:
         return "layer:" + layer in self.meta(store)

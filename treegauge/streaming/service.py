@@ -27,12 +27,14 @@ def stream_bursts(events: DataFrame, gap: str = DEBOUNCE,
                   lateness: str = "10 minutes") -> DataFrame:
     """Bursts of a stream `ts, project_id`: the quiet period is global.
 
-    The constant key makes the session global; sessions of one input
-    partition are merged before the shuffle (session setting), so the one key
-    receives sessions and not events.
+    A key that is true for every event makes the session global (a literal
+    would be optimized away, and streams refuse keyless sessions).  Sessions
+    of one input partition are merged before the shuffle (session setting), so
+    the one key receives sessions and not events.
     """
     return (events.withWatermark("ts", lateness)
-            .groupBy(F.session_window("ts", gap).alias("w"), F.lit(1).alias("all"))
+            .groupBy(F.session_window("ts", gap).alias("w"),
+                     F.col("ts").isNotNull().alias("all"))
             .agg(F.count(F.lit(1)).alias("events"),
                  F.array_sort(F.collect_set("project_id")).alias("projects"))
             .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"),
