@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import paths as P, text as X
+from ..joins import lookup
 from ..schemas import DIR, FILE
 
 
@@ -121,8 +122,8 @@ def mount_of(files: DataFrame, mounts: DataFrame) -> DataFrame:
                    .alias("fstype")))
     own = mounts.groupBy(F.col("mount").alias("path")).agg(
         F.max_by("fstype", "line_no").alias("own_fstype"))
-    return (files.select("path", P.dirname("path").alias("dir"))
-            .join(chosen, "dir", "left").join(own, "path", "left")
+    return (lookup(files.select("path", P.dirname("path").alias("dir")), chosen, ["dir"])
+            .join(own, "path", "left")
             .select("path", F.coalesce("own_fstype", "fstype").alias("fstype")))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..joins import lookup
 from ..functions.content import MAX_BYTES, sha256_hex, unread_reason
 
 
@@ -47,7 +48,7 @@ def node_paths(content: DataFrame) -> DataFrame:
     """
     rows = content.filter(F.col("sha256").isNotNull()).select("sha256", "path")
     counted = rows.groupBy("sha256").agg(F.count(F.lit(1)).alias("n_paths"))
-    return rows.join(counted, "sha256")
+    return lookup(rows, counted, ["sha256"], "inner")
 
 
 def paths_of(content: DataFrame, node: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from .. import Refused
 from ..functions import text as X
 from ..functions.vectors import cosine_to
+from ..joins import lookup
 from ..schemas import VECTORS
 
 CHUNKING = "%d/%d" % (X.CHUNK_CHARS, X.CHUNK_OVERLAP)
@@ -167,7 +168,7 @@ def search(vectors: DataFrame, content: DataFrame, query: list[float],
            limit: int = 10) -> DataFrame:
     """Exact cosine over all vectors: `path, score, ord`, best first."""
     paths = content.filter(F.col("sha256").isNotNull()).select("sha256", "path")
-    return (best_chunks(vectors, query).join(paths, "sha256")
+    return (lookup(paths, best_chunks(vectors, query), ["sha256"], "inner")
             .select("path", "score", "ord")
             .orderBy(F.desc("score"), "path").limit(limit))
 

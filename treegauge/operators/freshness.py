@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import paths as P, times as T
+from ..joins import lookup
 from ..schemas import (FILE, FRESH, FRESHNESS_STATES, PENDING_STATES, STALE, UNEMBEDDED,
                        UNREAD)
 
@@ -31,7 +32,7 @@ def per_file(content: DataFrame, catalogue: DataFrame | None,
                 .withColumn("stale", F.col("mtime_ns").isNull()
                             | (F.col("mtime_ns") != F.col("read_at"))))
     embedded = vectors.select("sha256").distinct().withColumn("embedded", F.lit(True))
-    return rows.join(embedded, "sha256", "left").select(
+    return lookup(rows, embedded, ["sha256"]).select(
         "path", F.when(F.col("unread"), F.lit(UNREAD))
         .when(F.col("stale"), F.lit(STALE))
         .when(F.col("has_text") & F.col("embedded").isNull(), F.lit(UNEMBEDDED))

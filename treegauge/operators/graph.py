@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import paths as P, text as X
+from ..joins import lookup
 from ..session import cut_lineage
 
 # Edge kind, resolution methods, and the confidence of a name.
@@ -91,9 +92,9 @@ def resolve(content: DataFrame, scope_root: str | None = None) -> DataFrame:
     per_name, same = _by_name(read)
     open_name = F.col("exact").isNull() & F.col("is_wiki")
     rows = (rows.withColumn("name", F.when(open_name, F.col("raw")).otherwise(nowhere))
-            .withColumn("name_suffix", P.suffix("path"))
-            .join(per_name.withColumn("known", F.lit(True)), "name", "left")
-            .join(same, ["name", "name_suffix"], "left"))
+            .withColumn("name_suffix", P.suffix("path")))
+    rows = lookup(rows, per_name.withColumn("known", F.lit(True)), ["name"])
+    rows = lookup(rows, same, ["name", "name_suffix"])
     derived = F.coalesce("only_sha", "same_sha")
     stated = F.col("exact").isNotNull()
     return rows.select(

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import paths as P
+from ..joins import lookup
 from ..schemas import DIR, FILE
 
 PRESENT, MOVE, COPY, DELETED, AMBIGUOUS = (
@@ -73,11 +74,13 @@ def verdict(old_here: Column, new_here: Column) -> Column:
             .when(old_here, F.lit(PRESENT)).otherwise(F.lit(DELETED)))
 
 
-def candidates(projects: DataFrame, content: DataFrame, files: DataFrame) -> DataFrame:
-    """`project_id, dir, by_inode`: directories that hold a missing project's tree.
+def _matching(projects: DataFrame, content: DataFrame, files: DataFrame) -> DataFrame:
+    """Per missing project: how many directories hold its tree, and the first.
 
     Directories are first compared by file count and bytes, which costs no
-    hashing; only those that agree with some project are fingerprinted.
+    hashing; only those that agree with some project are fingerprinted.  Trees
+    with many copies are counted per fingerprint before they meet a project,
+    so no pair of project and copy is ever made.
     """
     mine = project_fingerprints(content)
     dirs = files.filter(F.col("kind") == DIR).select(
@@ -89,14 +92,17 @@ def candidates(projects: DataFrame, content: DataFrame, files: DataFrame) -> Dat
     alike = sizes.join(mine.select("files", "bytes").distinct(),
                        ["files", "bytes"], "left_semi").select("dir")
     prints = tree_fingerprints(files, alike).select("dir", "fingerprint").join(dirs, "dir")
-    gone = (projects.select("project_id", "path", "root_dev", "root_inode")
-            .join(dirs.select(F.col("dir").alias("path")), "path", "left_anti"))
-    return (gone.join(mine, "project_id").join(prints, "fingerprint")
-            .filter(F.col("dir") != F.col("path"))
-            .select("project_id", "dir",
-                    F.coalesce((F.col("dev") == F.col("root_dev"))
-                               & (F.col("inode") == F.col("root_inode")),
-                               F.lit(False)).alias("by_inode")))
+    by_print = prints.groupBy("fingerprint").agg(
+        F.count(F.lit(1)).alias("n_print"), F.min("dir").alias("print_dir"))
+    by_inode = prints.groupBy("fingerprint", "dev", "inode").agg(
+        F.count(F.lit(1)).alias("n_inode"), F.min("dir").alias("inode_dir"))
+    gone = (projects.select("project_id", "path", F.col("root_dev").alias("dev"),
+                            F.col("root_inode").alias("inode"))
+            .join(dirs.select(F.col("dir").alias("path")), "path", "left_anti")
+            .join(mine.select("project_id", "fingerprint"), "project_id"))
+    found = lookup(gone, by_print, ["fingerprint"])
+    found = lookup(found, by_inode, ["fingerprint", "dev", "inode"])
+    return found.select("project_id", "n_print", "print_dir", "n_inode", "inode_dir")
 
 
 def recognise(projects: DataFrame, content: DataFrame, files: DataFrame) -> DataFrame:
@@ -106,12 +112,9 @@ def recognise(projects: DataFrame, content: DataFrame, files: DataFrame) -> Data
     fingerprint; otherwise any directory with the fingerprint.  Two or more
     of them are ambiguous and none is chosen.
     """
-    counted = candidates(projects, content, files).groupBy("project_id").agg(
-        F.count_if("by_inode").alias("n_inode"), F.count(F.lit(1)).alias("n_print"),
-        F.min(F.when(F.col("by_inode"), F.col("dir"))).alias("inode_dir"),
-        F.min("dir").alias("print_dir"))
     here = files.filter(F.col("kind") == DIR).select("path", F.lit(True).alias("here"))
-    rows = projects.join(here, "path", "left").join(counted, "project_id", "left")
+    rows = (projects.join(here, "path", "left")
+            .join(_matching(projects, content, files), "project_id", "left"))
     present = F.col("here").isNotNull()
     inode = F.coalesce(F.col("n_inode") > 0, F.lit(False))
     n = F.when(inode, F.col("n_inode")).otherwise(F.coalesce("n_print", F.lit(0)))
@@ -124,3 +127,8 @@ def recognise(projects: DataFrame, content: DataFrame, files: DataFrame) -> Data
         F.when(present, F.lit(1)).otherwise(n).cast("bigint").alias("candidates"),
         F.when(~present & (n > 0), F.when(inode, F.lit("inode"))
                .otherwise(F.lit("fingerprint"))).alias("by"))
+
+
+def candidates(project_print: str, prints: DataFrame) -> DataFrame:
+    """The directories with one project's fingerprint, for a user to choose."""
+    return prints.filter(F.col("fingerprint") == project_print).select("dir").orderBy("dir")

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import paths as P
+from ..joins import lookup
 from ..schemas import CHECKED, DIR, EXCLUDE, FILE, INCLUDE, PARTIAL, UNCHECKED
 
 # Directory names that are build output or tool state.
@@ -44,8 +45,8 @@ def innermost_rule(paths: DataFrame, rules: DataFrame) -> DataFrame:
                      .alias("from_dir")))
     own = rules.select("path", F.struct(F.col("path").alias("rule_path"), "mode")
                        .alias("own"))
-    return (paths.withColumn("dir", P.dirname("path"))
-            .join(from_dir, "dir", "left").join(own, "path", "left")
+    return (lookup(paths.withColumn("dir", P.dirname("path")), from_dir, ["dir"])
+            .join(own, "path", "left")
             .withColumn("rule", F.coalesce("own", "from_dir"))
             .select(*paths.columns, F.col("rule.rule_path").alias("rule_path"),
                     F.col("rule.mode").alias("mode")))
@@ -115,42 +116,45 @@ def pattern_regex(rule: Column) -> Column:
                                 .otherwise(F.lit("")), F.lit(")"))))
 
 
-def _verdict_regex(rules: Column) -> Column:
+def _fold_rules(rules: Column) -> Column:
     """Fold "last match wins" into two expressions: ignored, and kept.
 
     Reading rules in order, an ignoring rule widens `ignored` and narrows
     `kept`; a negated rule does the opposite.  A path that matches neither was
     not mentioned.
     """
-    nothing = "(?!)"
+    def widened(rx: Column, current: Column) -> Column:
+        return F.concat(F.lit("(?:"), rx, F.lit("|"), current, F.lit(")"))
+
+    def narrowed(rx: Column, current: Column) -> Column:
+        return F.concat(F.lit("(?:(?!"), rx, F.lit("\\z)"), current, F.lit(")"))
 
     def step(acc: Column, rule: Column) -> Column:
-        rx = F.concat(F.lit("(?:"), pattern_regex(rule), F.lit(")"))
-        def widened(current):
-            return F.concat(F.lit("(?:"), rx, F.lit("|"), current, F.lit(")"))
-        def narrowed(current):
-            return F.concat(F.lit("(?:(?!"), rx, F.lit("\\z)"), current, F.lit(")"))
-        return F.struct(
-            F.when(rule["negated"], narrowed(acc["ignored"]))
-            .otherwise(widened(acc["ignored"])).alias("ignored"),
-            F.when(rule["negated"], widened(acc["kept"]))
-            .otherwise(narrowed(acc["kept"])).alias("kept"))
+        toward = F.struct(widened(rule["rx"], acc["ignored"]).alias("ignored"),
+                          narrowed(rule["rx"], acc["kept"]).alias("kept"))
+        away = F.struct(narrowed(rule["rx"], acc["ignored"]).alias("ignored"),
+                        widened(rule["rx"], acc["kept"]).alias("kept"))
+        return F.when(rule["negated"], away).otherwise(toward)
+
+    nothing = F.lit("(?!)")
+    return F.aggregate(rules, F.struct(nothing.alias("ignored"), nothing.alias("kept")), step)
+
 
-    folded = F.aggregate(
-        rules, F.struct(F.lit(nothing).alias("ignored"), F.lit(nothing).alias("kept")),
-        step)
-    def anchored(name):
-        return F.concat(F.lit("(?s)\\A"), folded[name], F.lit("\\z"))
-    return F.struct(anchored("ignored").alias("ignored"), anchored("kept").alias("kept"))
+def _whole(name: str) -> Column:
+    def anchored(part: str) -> Column:
+        return F.concat(F.lit("(?s)\\A"), F.col(name)[part], F.lit("\\z")).alias(part)
+    return F.struct(anchored("ignored"), anchored("kept")).alias(name)
 
 
 def compile_ignores(ignore_files: DataFrame) -> DataFrame:
     """`base, on_file, on_dir`: per ignore file, what it says of files and dirs."""
-    parsed = ignore_files.select("base", parse_ignore("text").alias("rules"))
-    for_files = F.filter("rules", lambda r: ~r["dir_only"])
-    return parsed.filter(F.size("rules") > 0).select(
-        "base", _verdict_regex(for_files).alias("on_file"),
-        _verdict_regex(F.col("rules")).alias("on_dir"))
+    ready = F.transform(parse_ignore("text"), lambda r: F.struct(
+        F.concat(F.lit("(?:"), pattern_regex(r), F.lit(")")).alias("rx"),
+        r["negated"].alias("negated"), r["dir_only"].alias("dir_only")))
+    folded = (ignore_files.select("base", ready.alias("rules")).filter(F.size("rules") > 0)
+              .select("base", _fold_rules(F.filter("rules", lambda r: ~r["dir_only"]))
+                      .alias("on_file"), _fold_rules(F.col("rules")).alias("on_dir")))
+    return folded.select("base", _whole("on_file"), _whole("on_dir"))
 
 
 def _matches(value: Column, regex: Column) -> Column:
@@ -197,7 +201,7 @@ def with_ignored(files: DataFrame, ignore_files: DataFrame) -> DataFrame:
     dirs = files.select(P.dirname("path").alias("dir")).distinct()
     chains = directory_chains(dirs, compile_ignores(ignore_files))
     is_dir = (F.col("kind") == DIR) if "kind" in files.columns else None
-    return (files.withColumn("dir", P.dirname("path")).join(chains, "dir", "left")
+    return (lookup(files.withColumn("dir", P.dirname("path")), chains, ["dir"])
             .withColumn("ignored", chain_verdict(F.col("path"), F.col("chain"), is_dir))
             .select(*files.columns, "ignored"))
 
@@ -278,9 +282,8 @@ def project_members(files: DataFrame, projects: DataFrame,
               .withColumn("chain", F.when(
                   F.col("is_repo"),
                   F.filter("chain", lambda c: P.under(c["base"], F.col("root"))))))
-    return (files.filter(F.col("kind") == FILE)
-            .select("path", P.dirname("path").alias("dir"))
-            .join(spoken, "dir")
+    mine = files.filter(F.col("kind") == FILE).select("path", P.dirname("path").alias("dir"))
+    return (lookup(mine, spoken, ["dir"], "inner")
             .filter(~chain_verdict(F.col("path"), F.col("chain")))
             .select("project_id", "path"))
 

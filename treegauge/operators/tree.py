@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F, Window
 
 from ..functions import paths as P
 from ..functions.vectors import mulberry32
+from ..joins import lookup
 from ..session import cut_lineage
 
 # A folder with more direct files than this gets one bucket per
@@ -23,7 +24,7 @@ def _files(rows: DataFrame, root: str) -> DataFrame:
                         F.size(F.split(rel, "/", -1)).alias("level"))
     crowded = (files.groupBy("folder").agg(F.count(F.lit(1)).alias("n"))
                .filter(F.col("n") > FANOUT).select("folder", F.lit(True).alias("crowded")))
-    files = files.join(crowded, "folder", "left")
+    files = lookup(files, crowded, ["folder"])
     bucket = F.concat("folder", F.lit(SEP), F.col("type"))
     return files.withColumn("bucket", F.when(F.col("crowded"), bucket))
 
@@ -82,15 +83,15 @@ def tally(all_nodes: DataFrame) -> DataFrame:
 def link_weights(all_edges: DataFrame) -> DataFrame:
     """`from, to, weight`: one over the sum of both ends' degrees.
 
-    In a tree a node is the `to` of one edge, so degrees need one aggregate
-    over out-edges and one mark for having a parent.
+    A crowded folder or bucket is one hot end; its degree is one row.
     """
     ends = all_edges.select(F.explode(F.array("from", "to")).alias("id"))
     degree = ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-    return (all_edges
-            .join(degree.select(F.col("id").alias("from"), F.col("degree").alias("d1")), "from")
-            .join(degree.select(F.col("id").alias("to"), F.col("degree").alias("d2")), "to")
-            .select("from", "to",
+    ends = all_edges
+    for end, name in (("from", "d1"), ("to", "d2")):
+        ends = lookup(ends, degree.select(F.col("id").alias(end), F.col("degree").alias(name)),
+                      [end], "inner")
+    return (ends.select("from", "to",
                     (F.lit(1.0) / (F.col("d1") + F.col("d2"))).alias("weight")))
 
 
@@ -134,8 +135,8 @@ def seed_positions(rows: DataFrame, root: str, seed: int = 1337) -> DataFrame:
                  F.array("id")))).alias("link"))
     inner = (inner.join(offsets.withColumnRenamed("id", "link"), "link")
              .groupBy("id").agg(F.sum("dx").alias("x"), F.sum("dy").alias("y")))
-    leaves = (placed.filter(F.col("kind") == "file").join(offsets, "id")
-              .join(inner.withColumnRenamed("id", "parent"), "parent")
+    leaves = placed.filter(F.col("kind") == "file").join(offsets, "id")
+    leaves = (lookup(leaves, inner.withColumnRenamed("id", "parent"), ["parent"], "inner")
               .select("id", (F.col("x") + F.col("dx")).alias("x"),
                       (F.col("y") + F.col("dy")).alias("y")))
     return inner.unionByName(leaves)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import paths as P
+from ..joins import lookup
 from ..operators.scope import LITERAL_RULES
 from ..schemas import EVENTS
 
@@ -97,6 +98,6 @@ def attribute(events: DataFrame, projects: DataFrame) -> DataFrame:
              .join(roots, "root").groupBy("dir")
              .agg(F.max_by("project_id", F.length("root")).alias("above")))
     own = roots.select(F.col("root").alias("path"), F.col("project_id").alias("own"))
-    return (events.withColumn("dir", P.dirname("path"))
-            .join(above, "dir", "left").join(own, "path", "left")
+    return (lookup(events.withColumn("dir", P.dirname("path")), above, ["dir"])
+            .join(own, "path", "left")
             .select(*events.columns, F.coalesce("own", "above").alias("project_id")))

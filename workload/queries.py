@@ -383,15 +383,12 @@ def _(t):
 
 
 def _start(t: Inputs) -> DataFrame:
-    """The content with most files: the graph's busiest node."""
-    return (t.linked().groupBy("sha256").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("p"))
-            .filter(F.startswith("p", F.lit("/home/src"))).orderBy(F.desc("n"), "p").limit(1)
-            .select(F.col("sha256").alias("node")))
+    """All contents of one folder; how far do its links reach?"""
+    return (t.linked().filter(P.under("path", "/home/src1"))
+            .select(F.col("sha256").alias("node")).distinct())
 
 
-_START_SQL = """, start AS (SELECT sha256 AS node FROM (
-  SELECT sha256, count(*) AS n, min(path) AS p FROM linked GROUP BY sha256)
-  WHERE starts_with(p, '/home/src') ORDER BY n DESC, p LIMIT 1),
+_START_SQL = """, start AS (SELECT DISTINCT sha256 AS node FROM linked WHERE starts_with(path, '/home/src1/')),
 hop1 AS (SELECT * FROM edges WHERE src IN (SELECT node FROM start)),
 n1 AS (SELECT DISTINCT dst AS node FROM hop1 WHERE dst NOT IN (SELECT node FROM start)),
 hop2 AS (SELECT * FROM edges WHERE src IN (SELECT node FROM n1)),
@@ -869,9 +866,28 @@ def _(t):
         "weight", F.round("weight", 9))
 
 
-@query("seed_positions")
-def _(t):
-    return tr.seed_positions(t.docfiles().select("path"), "/home")
+@query("seed_positions", with_ctes("docfiles") + _TREE_SQL + _TREE_EDGES_SQL + """,
+ids AS (SELECT '' AS id UNION ALL SELECT "to" FROM tree_edges),
+calls AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i, unnest([1, 2]) AS k FROM ids),
+a AS (SELECT id, k, ((1337 + (2 * i + k)::HUGEINT * 1831565813) & 4294967295)::UBIGINT AS a FROM calls),
+b AS (SELECT id, k, ((xor(a, a >> 15)::HUGEINT * (a | 1)) & 4294967295)::UBIGINT AS t FROM a),
+c AS (SELECT id, k, xor(t, ((t::HUGEINT + ((xor(t, t >> 7)::HUGEINT * (t | 61)) & 4294967295)) & 4294967295)::UBIGINT)
+  AS t FROM b),
+d AS (SELECT id, k, (xor(t, t >> 14)::DOUBLE / 4294967296.0 - 0.5) * 2 AS v FROM c),
+o AS (SELECT id, max(v) FILTER (k = 1) AS dx, max(v) FILTER (k = 2) AS dy FROM d GROUP BY id),
+up AS (SELECT "to" AS id, "from" AS parent FROM tree_edges),
+chain AS (
+  SELECT i.id, o.dx, o.dy FROM ids i JOIN o ON o.id = i.id
+  UNION ALL SELECT u1.id, o.dx, o.dy FROM up u1 JOIN o ON o.id = u1.parent
+  UNION ALL SELECT u1.id, o.dx, o.dy FROM up u1 JOIN up u2 ON u2.id = u1.parent JOIN o ON o.id = u2.parent
+  UNION ALL SELECT u1.id, o.dx, o.dy FROM up u1 JOIN up u2 ON u2.id = u1.parent JOIN up u3 ON u3.id = u2.parent
+    JOIN o ON o.id = u3.parent
+  UNION ALL SELECT u1.id, o.dx, o.dy FROM up u1 JOIN up u2 ON u2.id = u1.parent JOIN up u3 ON u3.id = u2.parent
+    JOIN up u4 ON u4.id = u3.parent JOIN o ON o.id = u4.parent)
+SELECT id, round(sum(dx), 9) AS x, round(sum(dy), 9) AS y FROM chain GROUP BY id""")
+def _(t):
+    return tr.seed_positions(t.docfiles().select("path"), "/home").select(
+        "id", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
 
 
 # -- equivalence and evaluation -----------------------------------------------------
@@ -1028,7 +1044,7 @@ def _(t):
     return ev.problems(pairs, gold, t.docfiles().select("path"), lexical)
 
 
-@query("splitting_queries", with_ctes("docfiles", "coded", "symbols") + """,
+_SPLIT_SQL = """,
 split AS (SELECT path, w, p, len(list_filter(regexp_split_to_array(w, '[^0-9A-Za-z]+'), lambda x: x <> '')) AS pieces FROM (
   SELECT path, w, list_filter(string_split(lower(trim(
     regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
@@ -1039,13 +1055,28 @@ split AS (SELECT path, w, p, len(list_filter(regexp_split_to_array(w, '[^0-9A-Za
   FROM (SELECT path, unnest(regexp_extract_all(text, '[0-9A-Za-z_.\\-/]+')) AS w FROM coded))),
 counted AS (SELECT CASE WHEN pieces > 1 THEN 'separator' ELSE 'case' END AS cause, array_to_string(p, ' ') AS query,
    count(*) AS n FROM split WHERE len(p) > 1 AND len(list_filter(p, lambda x: length(x) < 2)) = 0 GROUP BY 1, 2)
-SELECT cause, query, n, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY cause ORDER BY n DESC, query) AS place
-  FROM counted) WHERE place <= 30""")
+"""
+
+
+@query("splitting_queries", with_ctes("docfiles", "coded", "symbols") + _SPLIT_SQL + """
+SELECT cause, query, n, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (
+  PARTITION BY cause ORDER BY n DESC, query) AS place FROM counted) WHERE place <= 30""")
 def _(t):
     return ev.splitting_queries(t.coded())
 
 
-@query("splitting_recall")
+@query("splitting_recall", with_ctes("docfiles", "coded", "symbols") + _SPLIT_SQL + """,
+asked AS (SELECT cause, query FROM (SELECT *, row_number() OVER (
+  PARTITION BY cause ORDER BY n DESC, query) AS place FROM counted) WHERE place <= 30),
+asked_words AS (SELECT cause, query, unnest(list_distinct(string_split(query, ' '))) AS term FROM asked),
+found AS (SELECT cause, query, path, count(DISTINCT term) AS any_n,
+    count(DISTINCT term) FILTER (col = 'text') AS text_n
+  FROM asked_words JOIN tokens USING (term) GROUP BY cause, query, path),
+best AS (SELECT cause, query, max(any_n) AS any_n, max(text_n) AS text_n FROM found GROUP BY cause, query)
+SELECT a.cause, count(*) AS queries,
+  count(*) FILTER (any_n >= len(list_distinct(string_split(a.query, ' ')))) AS with_symbols,
+  count(*) FILTER (text_n >= len(list_distinct(string_split(a.query, ' ')))) AS without_symbols
+FROM asked a LEFT JOIN best b ON b.cause = a.cause AND b.query = a.query GROUP BY a.cause""")
 def _(t):
     coded = t.coded()
     return ev.splitting_recall(coded, ev.splitting_queries(coded))
