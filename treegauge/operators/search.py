@@ -149,6 +149,8 @@ def search_index(index: DataFrame, doc_lengths: DataFrame, query: str,
     counted = per_doc.select(
         "path", *[times("t", p).alias("t%d" % i) for i, p in enumerate(phrases)],
         *[times("s", p).alias("s%d" % i) for i, p in enumerate(phrases)])
+    # One row per document that holds any of the words, read twice below.
+    counted = cut_lineage(counted)
     hit = [F.col("t%d" % i) + F.col("s%d" % i) for i in each]
     corpus = doc_lengths.agg(F.struct(F.count("path").alias("n"),
                                       F.avg("dl").alias("avgdl"))).scalar()
@@ -202,12 +204,13 @@ def search_many(content: DataFrame, queries: DataFrame, depth: int | None = 50)
     Document frequencies are counted from distinct terms per row, so they
     combine on the map side.  Only documents that hold a query's rarest term
     can match it: those are the candidates, and every other look-up is keyed
-    by document.  No join here fans out on a frequent term.
+    by document.  No join here fans out on a frequent term.  What several
+    steps need (frequencies, candidates, lengths: no text) is written down.
     """
     terms = query_terms(queries)
     asked = terms.select("term").distinct()
-    df = (term_documents(content).join(asked, "term", "left_semi")
-          .groupBy("term").agg(F.count(F.lit(1)).alias("term_df")))
+    df = cut_lineage(term_documents(content).join(asked, "term", "left_semi")
+                     .groupBy("term").agg(F.count(F.lit(1)).alias("term_df")))
     rare = (terms.join(df, "term").groupBy("qid")
             .agg(F.min_by("term", F.struct("term_df", "term")).alias("term")))
     candidates = cut_lineage(
@@ -226,15 +229,17 @@ def search_many(content: DataFrame, queries: DataFrame, depth: int | None = 50)
     longer = terms.filter(F.col("n_tokens") > 1)
     if not longer.isEmpty():
         phrase_df = phrase_df.unionByName(_phrase_df(longer, token_rows(content)))
-    sizes = lengths(content)
+    sizes = cut_lineage(lengths(content))
     corpus = sizes.agg(F.struct(F.count("path").alias("n"), F.avg("dl").alias("avgdl"))).scalar()
     needed = terms.select("qid", "phrase").distinct().groupBy("qid").agg(
         F.count(F.lit(1)).alias("n_phrases"))
     score = -_idf(corpus["n"], F.col("df")) * _weight(F.col("tf"), F.col("dl"), corpus["avgdl"])
+    parts = F.array_sort(F.collect_list(F.struct("phrase", score.alias("score"))))
     hits = (tf.join(phrase_df, ["qid", "phrase"]).join(sizes, "path")
-            .groupBy("qid", "path").agg(F.sum(score).alias("rank"),
-                                        F.count(F.lit(1)).alias("matched"))
-            .join(needed, "qid").filter(F.col("matched") == F.col("n_phrases")))
+            .groupBy("qid", "path").agg(parts.alias("parts"))
+            .join(needed, "qid").filter(F.size("parts") == F.col("n_phrases"))
+            # Added in phrase order: copies of a document tie exactly.
+            .withColumn("rank", F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["score"])))
     if depth is None:
         return hits.select("qid", "path", "rank")
     order = Window.partitionBy("qid").orderBy("rank", "path")

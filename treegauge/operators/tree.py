@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, Window
+from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from ..functions import paths as P
 from ..functions.vectors import mulberry32
@@ -18,20 +18,39 @@ SEP = "\0"
 def _files(rows: DataFrame, root: str) -> DataFrame:
     state = F.col("state") if "state" in rows.columns else F.lit("fresh")
     rel = P.relative("path", root)
-    files = rows.select(rel.alias("id"), P.dirname(rel).alias("folder"),
-                        P.basename("path").alias("name"), P.type_of("path").alias("type"),
-                        F.coalesce(state, F.lit("fresh")).alias("state"),
-                        F.size(F.split(rel, "/", -1)).alias("level"))
-    crowded = (files.groupBy("folder").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select(rel.alias("id"), P.dirname(rel).alias("folder"),
+                       P.basename("path").alias("name"), P.type_of("path").alias("type"),
+                       F.coalesce(state, F.lit("fresh")).alias("state"),
+                       F.size(F.split(rel, "/", -1)).alias("level"))
+
+
+def _groups(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files per folder and type, and the folders with too many.
+
+    Everything but the leaves is derived from these counts, so a folder with a
+    third of all files is a row per type here.
+    """
+    groups = files.groupBy("folder", "type").agg(F.count(F.lit(1)).alias("n"))
+    crowded = (groups.groupBy("folder").agg(F.sum("n").alias("n"))
                .filter(F.col("n") > FANOUT).select("folder", F.lit(True).alias("crowded")))
-    files = lookup(files, crowded, ["folder"])
-    bucket = F.concat("folder", F.lit(SEP), F.col("type"))
-    return files.withColumn("bucket", F.when(F.col("crowded"), bucket))
+    return groups, crowded
+
+
+def _bucket() -> Column:
+    return F.concat("folder", F.lit(SEP), F.col("type"))
 
 
-def _folders(files: DataFrame) -> DataFrame:
-    # Folders are made distinct before their ancestors are listed.
-    return (files.select("folder").distinct()
+def _leaves(files: DataFrame, crowded: DataFrame) -> DataFrame:
+    return lookup(files, crowded, ["folder"]).withColumn(
+        "bucket", F.when(F.col("crowded"), _bucket()))
+
+
+def _buckets(groups: DataFrame, crowded: DataFrame) -> DataFrame:
+    return groups.join(crowded, "folder", "left_semi").select("folder", "type", _bucket().alias("bucket"))
+
+
+def _folders(groups: DataFrame) -> DataFrame:
+    return (groups.select("folder").distinct()
             .select(F.explode(F.concat(P.relative_ancestors("folder"), F.array("folder")))
                     .alias("id")).distinct().filter(F.col("id") != ""))
 
@@ -42,22 +61,23 @@ def nodes(rows: DataFrame, root: str) -> DataFrame:
     The root is the empty id.  A file moved into a bucket is one deeper.
     """
     files = _files(rows, root)
+    groups, crowded = _groups(files)
     none = F.lit(None).cast("string")
-    depth_of = F.when(F.col("id") == "", F.lit(0)).otherwise(F.size(F.split("id", "/", -1)))
-    folders = (_folders(files).unionByName(
+
+    def depth(of: str) -> Column:
+        return F.when(F.col(of) == "", F.lit(0)).otherwise(F.size(F.split(of, "/", -1)))
+
+    folders = (_folders(groups).unionByName(
         files.sparkSession.createDataFrame([("",)], "id string"))
         .select("id", F.lit("dir").alias("kind"),
                 F.when(F.col("id") == "", F.lit(".")).otherwise(P.basename("id")).alias("name"),
-                F.col("id").alias("path"), depth_of.alias("depth"),
+                F.col("id").alias("path"), depth("id").alias("depth"),
                 none.alias("type"), none.alias("state")))
-    buckets = (files.filter(F.col("bucket").isNotNull())
-               .select("bucket", "folder", "type").distinct()
-               .select(F.col("bucket").alias("id"), F.lit("bucket").alias("kind"),
-                       F.col("type").alias("name"), F.col("bucket").alias("path"),
-                       (F.when(F.col("folder") == "", F.lit(0))
-                        .otherwise(F.size(F.split("folder", "/", -1))) + 1).alias("depth"),
-                       none.alias("type"), none.alias("state")))
-    leaves = files.select(
+    buckets = _buckets(groups, crowded).select(
+        F.col("bucket").alias("id"), F.lit("bucket").alias("kind"), F.col("type").alias("name"),
+        F.col("bucket").alias("path"), (depth("folder") + 1).alias("depth"),
+        none.alias("type"), none.alias("state"))
+    leaves = _leaves(files, crowded).select(
         "id", F.lit("file").alias("kind"), "name", F.col("id").alias("path"),
         (F.col("level") + F.col("bucket").isNotNull().cast("int")).alias("depth"),
         "type", "state")
@@ -67,11 +87,12 @@ def nodes(rows: DataFrame, root: str) -> DataFrame:
 def edges(rows: DataFrame, root: str) -> DataFrame:
     """`from, to`: folder or bucket to child; a bucket takes over its files."""
     files = _files(rows, root)
-    below = _folders(files).select(P.dirname("id").alias("from"), F.col("id").alias("to"))
-    buckets = (files.filter(F.col("bucket").isNotNull())
-               .select(F.col("folder").alias("from"), F.col("bucket").alias("to")).distinct())
-    leaves = files.select(F.coalesce("bucket", "folder").alias("from"),
-                          F.col("id").alias("to"))
+    groups, crowded = _groups(files)
+    below = _folders(groups).select(P.dirname("id").alias("from"), F.col("id").alias("to"))
+    buckets = _buckets(groups, crowded).select(F.col("folder").alias("from"),
+                                               F.col("bucket").alias("to"))
+    leaves = _leaves(files, crowded).select(F.coalesce("bucket", "folder").alias("from"),
+                                            F.col("id").alias("to"))
     return below.unionByName(buckets).unionByName(leaves)
 
 

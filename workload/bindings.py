@@ -176,8 +176,9 @@ edges AS (
       ORDER BY confidence DESC, path, NOT is_wiki, pos) AS rn
     FROM outcomes WHERE dst IS NOT NULL) WHERE rn = 1)""",
     "coded": """coded AS (
-  SELECT path, text || ' ' || source || 'Lang' || upper(lang) || 'Size' || n_chars || '_'
-         || CASE WHEN quality IS NULL THEN 'plainText' ELSE 'HTTPLabel.q' || quality END AS text
+  SELECT path, text || ' ' || source || 'Lang' || upper(lang) || 'Size' || n_chars || ' '
+         || CASE WHEN quality IS NULL THEN 'plainText' WHEN quality = 1 THEN 'HTTPLabel.goodText'
+                 ELSE 'HTTPLabel.bad_text' END AS text
   FROM docfiles)""",
     "symbols": """words AS (
   SELECT path, w FROM (SELECT path, unnest(list_distinct(
@@ -377,11 +378,11 @@ class Inputs:
             "path", F.sha2("text", 256).alias("sha256"), "text")
 
     def coded(self) -> DataFrame:
-        mark = F.when(F.col("quality").isNull(), F.lit("plainText")).otherwise(
-            F.concat(F.lit("HTTPLabel.q"), F.col("quality").cast("string")))
+        mark = (F.when(F.col("quality").isNull(), "plainText")
+                .when(F.col("quality") == 1, "HTTPLabel.goodText").otherwise("HTTPLabel.bad_text"))
         return self.docfiles().select("path", F.concat(
             "text", F.lit(" "), "source", F.lit("Lang"), F.upper("lang"), F.lit("Size"),
-            F.col("n_chars").cast("string"), F.lit("_"), mark).alias("text"))
+            F.col("n_chars").cast("string"), F.lit(" "), mark).alias("text"))
 
     def treefiles(self) -> DataFrame:
         return (self.table("lineitem").groupBy("l_orderkey", "l_linenumber")

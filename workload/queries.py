@@ -453,7 +453,7 @@ ranked AS (SELECT h.path, -sum(greatest(CASE WHEN ln((n - df + 0.5) / (df + 0.5)
       AS rank, count(*) AS matched, bool_and(in_text > 0) AS all_text
   FROM hits h JOIN df USING (term) JOIN dl USING (path) CROSS JOIN corpus GROUP BY h.path)
 SELECT path, round(rank, 9) AS rank, CASE WHEN all_text THEN 'text' ELSE 'symbols' END AS place
-FROM ranked WHERE matched = %d ORDER BY ranked.rank, path LIMIT 20""" % (listed, len(terms))
+FROM ranked WHERE matched = %d ORDER BY round(ranked.rank, 9), path LIMIT 20""" % (listed, len(terms))
 
 
 def _rounded(hits: DataFrame) -> DataFrame:
@@ -951,7 +951,7 @@ dfs AS (SELECT term, count(*) AS df FROM tfs GROUP BY term),
 qt AS (SELECT DISTINCT qid, unnest(regexp_extract_all(strip_accents(lower(query)), '[\\p{L}\\p{N}]+')) AS term FROM pairs),
 qn AS (SELECT qid, count(*) AS n FROM qt GROUP BY qid),
 cs AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dls),
-lex AS (SELECT qid, path, row_number() OVER (PARTITION BY qid ORDER BY rank, path) AS position FROM (
+lex AS (SELECT qid, path, row_number() OVER (PARTITION BY qid ORDER BY round(rank, 9), path) AS position FROM (
   SELECT q.qid, t.path, -sum(CASE WHEN ln((cs.n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6
      ELSE ln((cs.n - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS rank,
      count(*) AS matched
