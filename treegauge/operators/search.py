@@ -234,9 +234,9 @@ def search_many(content: DataFrame, queries: DataFrame, depth: int | None = 50)
     needed = terms.select("qid", "phrase").distinct().groupBy("qid").agg(
         F.count(F.lit(1)).alias("n_phrases"))
     score = -_idf(corpus["n"], F.col("df")) * _weight(F.col("tf"), F.col("dl"), corpus["avgdl"])
-    parts = F.array_sort(F.collect_list(F.struct("phrase", score.alias("score"))))
     hits = (tf.join(phrase_df, ["qid", "phrase"]).join(sizes, "path")
-            .groupBy("qid", "path").agg(parts.alias("parts"))
+            .withColumn("score", score).groupBy("qid", "path")
+            .agg(F.sort_array(F.collect_list(F.struct("phrase", "score"))).alias("parts"))
             .join(needed, "qid").filter(F.size("parts") == F.col("n_phrases"))
             # Added in phrase order: copies of a document tie exactly.
             .withColumn("rank", F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["score"])))
