@@ -123,6 +123,13 @@ def test_sweep_reports_unwatched_projects(spark, rows):
     assert rows(svc.sweep_hits(journal, projects, lambda df: df)) == [("a", True), ("b", False)]
 
 
+def test_a_journal_reads_as_events(spark):
+    journal = spark.createDataFrame([("/a", "added"), ("/b", "removed"), ("/c", "touched"), ("/d", "unchanged")],
+                                    "path string, state string")
+    got = {r["path"]: r["mask"] for r in evt.journal_events(journal, F.lit(T0)).collect()}
+    assert got == {"/a": 0x100, "/b": 0x200, "/c": 0x8}
+
+
 def test_sweep_windows(spark):
     df = spark.createDataFrame([(T0 + dt.timedelta(minutes=m), "p") for m in (0, 29, 30, 95)],
                                "ts timestamp, project_id string")

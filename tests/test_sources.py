@@ -56,6 +56,15 @@ def test_bytes_and_hashes_are_read_by_the_task_that_owns_the_row(spark, planted)
     assert raw[planted + "/a/one.md"] == b"a/one.md" and raw[path] is None
 
 
+def test_object_storage_gives_the_same_rows(spark, tmp_path):
+    # Plain files only: this source follows links, so a looping one never ends.
+    (tmp_path / "one.md").write_text("short")
+    (tmp_path / "two.md").write_text("longer than the cap")
+    got = {r["path"]: (r["size"], bytes(r["bytes"])) for r in readers.stored_bytes(
+        spark, str(tmp_path), max_bytes=9, glob="*.md").collect()}
+    assert got == {str(tmp_path / "one.md"): (5, b"short")}
+
+
 def test_ignore_files_come_from_the_catalogue(spark, planted):
     for name, text in ((".gitignore", b"*.log\n\xff"), ("a/.gitignore", b"x"), (".git/.gitignore", b"*")):
         path = os.path.join(planted, name)

@@ -115,7 +115,8 @@ def test_a_moved_project_is_recognised_and_refused_where_it_was(spark, tmp_path)
     assert ws.resolve(new) == project
     assert ws.update(project)["content"]["read"] == 2
     with pytest.raises(Refused):
-        ws.embed(project)  # no model is configured
+        ws.attempt("embed", ws.embed, project)  # no model is configured
+    assert [(r["command"], r["refused"]) for r in ws.refusals().collect()] == [("embed", 1)]
 
 
 def test_backfill_is_bounded_and_separate_from_the_journal(spark, tmp_path):
@@ -134,3 +135,19 @@ def test_backfill_is_bounded_and_separate_from_the_journal(spark, tmp_path):
     assert (cover["backfilled"], cover["compared"]) == (3, 0)
     assert ws.scan(home)["journal"]["unchanged"] > 0
     assert ws.hash_coverage()["backfilled"] == 3
+
+
+def test_commands_exit_with_what_happened(spark, tmp_path, capsys):
+    from treegauge.__main__ import main
+
+    home = str(tmp_path / "home")
+    _put(home + "/p", "f.md", "some words")
+    store = ["--store", str(tmp_path / "store")]
+    assert main(store + ["search", "f.md", "--names"]) == 2  # nothing catalogued
+    assert main(store + ["scan", home]) == 0
+    assert main(store + ["add", home + "/p"]) == 0
+    capsys.readouterr()
+    assert main(store + ["search", "f.md", "--names"]) == 0
+    assert "/p/f.md" in capsys.readouterr().out
+    assert main(store + ["backfill", "--max-files", "0"]) == 3
+    assert main(store + ["update", "nobody"]) == 2

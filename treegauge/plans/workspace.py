@@ -76,6 +76,29 @@ class Workspace:
         self.set_meta(store, **{"layer:" + layer: version}, **facts)
         return self.spark.read.parquet(version)
 
+    # -- refusals -------------------------------------------------------------
+
+    def attempt(self, command: str, action: Callable, *args, **options):
+        """Run a command; a refusal is tallied as a tab-separated row and raised."""
+        try:
+            return action(*args, **options)
+        except Refused as refusal:
+            (self.spark.createDataFrame([(time.time(), command, str(refusal))],
+                                        "stamp double, command string, reason string")
+             .coalesce(1).write.mode("append").option("sep", "\t")
+             .csv(self.folder + "/refusals"))
+            raise
+
+    def refusals(self) -> DataFrame:
+        """How often each command was refused."""
+        try:
+            rows = self.spark.read.option("sep", "\t").schema(
+                "stamp double, command string, reason string").csv(self.folder + "/refusals")
+        except Exception:  # noqa: BLE001 - nothing was ever refused
+            rows = self.spark.createDataFrame([], "stamp double, command string, reason string")
+        return rows.groupBy("command").agg(F.count(F.lit(1)).alias("refused"),
+                                           F.max("stamp").alias("last"))
+
     # -- projects -------------------------------------------------------------
 
     def add(self, root: str) -> str:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.content import MAX_BYTES
 from ..functions.paths import basename, dirname
@@ -49,6 +49,24 @@ def read_bytes(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
         run, "path string, size bigint, mtime_ns bigint, bytes binary")
 
 
+def stored_bytes(spark: SparkSession, folder: str, max_bytes: int = MAX_BYTES,
+                 glob: str | None = None) -> DataFrame:
+    """The same rows from object storage, where tasks cannot open paths.
+
+    The size limit reaches the source, so larger objects are listed and not
+    fetched; they are not part of the answer.  Hidden names are skipped by the
+    source, times are whole microseconds, and links are followed: for trees on
+    a file system use the catalogue and `read_bytes`.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    return reader.load(folder).filter(F.col("length") <= max_bytes).select(
+        F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("length").alias("size"),
+        (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"),
+        F.col("content").alias("bytes"))
+
+
 def hash_files(files: DataFrame) -> DataFrame:
     """`path, digest`: sha256 in blocks, NULL when the file cannot be read."""
     import pandas as pd

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import paths as P
 from ..joins import lookup
 from ..operators.scope import LITERAL_RULES
-from ..schemas import EVENTS
+from ..schemas import ADDED, EVENTS, REMOVED, UNCHANGED
 
 # Bits of an event mask.
 MASKS = {
@@ -35,6 +35,18 @@ def silent_stream(spark: SparkSession) -> DataFrame:
                     F.lit(0).alias("mask")))
 
 
+def journal_events(journal: DataFrame, at: Column) -> DataFrame:
+    """What a sweep found, as events `ts, path, mask` for the same consumers.
+
+    This is how a place without a watcher, or one that lost events, catches up.
+    """
+    bit = (F.when(F.col("state") == ADDED, MASKS["create"])
+           .when(F.col("state") == REMOVED, MASKS["delete"])
+           .otherwise(MASKS["close_write"]))
+    return (journal.filter(F.col("state") != UNCHANGED)
+            .select(at.alias("ts"), "path", bit.cast("int").alias("mask")))
+
+
 def named_bits(mask) -> Column:
     mask = F.col(mask) if isinstance(mask, str) else mask
     return F.array_compact(F.array(*[

@@ -211,8 +211,7 @@ corpus AS (SELECT (SELECT count(*) FROM coded) AS n, (SELECT sum(dl) FROM dl) *
     SELECT dir, path, size FROM treefiles UNION ALL SELECT '/home', path, size FROM treefiles) d),
 prints AS (
   SELECT dir, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, sha256(concat_ws(':', count(*),
-    bit_xor(('0x' || substr(h, 1, 15))::BIGINT), bit_xor(('0x' || substr(h, 16, 15))::BIGINT),
-    bit_xor(('0x' || substr(h, 31, 15))::BIGINT), bit_xor(('0x' || substr(h, 46, 15))::BIGINT)))
+    bit_xor(('0x' || substr(h, 1, 15))::BIGINT), bit_xor(('0x' || substr(h, 16, 15))::BIGINT)))
     AS fingerprint FROM lines GROUP BY dir)""",
     "watched": """watched AS (
   SELECT event_id, ts, event_type, value, CASE
