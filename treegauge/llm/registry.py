@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from .packing import op9_packing
+from .simhash import op10_simhash
 from .token_counts import op4_token_counts
+from .toxicity import op2_toxicity
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op4_token_counts": op4_token_counts,
     "op9_packing": op9_packing,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLES: dict[str, str] = {}
