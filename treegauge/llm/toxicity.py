@@ -33,7 +33,7 @@ CALIBRATE = 4
 ORDINARY_WORDS, TOXIC_WORDS = 4000, 2000
 #: Longest window in bytes; a longer run of characters is cut into windows that overlap by half.
 WINDOW = 48
-LEVEL = 9
+LEVEL = 12
 #: Bytes of a compressed window that are frame and headers.
 FRAME = 10
 #: Windows that a worker remembers the gains of before it starts again.
