@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from .ordinal import op5_ordinal
 from .packing import op9_packing
+from .quality_rules import op3_quality_rules
 from .simhash import op10_simhash
 from .token_counts import op4_token_counts
 from .toxicity import op2_toxicity
+from .warc import op8_warc
 
 QUERIES = {
     "op2_toxicity": op2_toxicity,
+    "op3_quality_rules": op3_quality_rules,
     "op4_token_counts": op4_token_counts,
+    "op5_ordinal": op5_ordinal,
+    "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
 }

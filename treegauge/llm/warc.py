@@ -179,9 +179,9 @@ def reassembled(read: DataFrame) -> DataFrame:
         field("WARC-Type").alias("type"), field("WARC-Record-ID").alias("id"),
         field("WARC-Target-URI").alias("uri"), field("WARC-Payload-Digest").alias("digest"),
         field("WARC-Refers-To").alias("refers"),
-        field("WARC-Segment-Number").cast("int").alias("number"),
+        field("WARC-Segment-Number").try_cast("int").alias("number"),
         field("WARC-Segment-Origin-ID").alias("origin"),
-        field("WARC-Segment-Total-Length").cast("long").alias("total"), "block", "whole")
+        field("WARC-Segment-Total-Length").try_cast("long").alias("total"), "block", "whole")
     single = named.where("number is null").select(
         "type", "id", "uri", "digest", "refers", F.array("block").alias("blocks"),
         F.col("whole").alias("complete"))
@@ -237,7 +237,7 @@ def op8_warc(spark, sf_dir: str) -> DataFrame:
     """Every page through an archive and back: payload length, digest, type, what it refers to."""
     folder = folder_for(spark, "warc")
     write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
-    page = lambda c: F.regexp_extract(c, r"urn:page:([^#>]*)", 1).cast("long")
+    page = lambda c: F.regexp_extract(c, r"urn:page:([^#>]*)", 1).try_cast("long")
     # The digest is that of the payload read back where there is one; a revisit names it.
     return reassembled(read_records(spark, folder)).select(
         page("id").alias("page_id"), "payload_bytes",
