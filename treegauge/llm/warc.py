@@ -134,13 +134,14 @@ def write_archives(pages: DataFrame, folder: str, segment: int = SEGMENT,
     made = batches(known, work, "record binary", text="payload")
     # The text writer puts bytes as they are, each row followed by the separator.
     made.select(F.concat(F.lit(_VERSION), "record").cast("string").alias("value")).write.option(
-        "lineSep", "\r\n\r\n").text(folder)
+        "lineSep", "\r\n\r\n").text(folder, compression="gzip")
 
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
-    """(head, block, whole): every record of the archives, read in parallel splits.
+    """(head, block, whole): every record of the archives, plain or compressed.
 
-    Records are told apart by the version line, so large files are split.
+    Records are told apart by the version line, so large plain files are read
+    in splits and none is held as a whole.
     `whole` is false where a block is shorter than its Content-Length.
     """
     raw = spark.read.option("lineSep", _VERSION.decode()).text(folder).select(
