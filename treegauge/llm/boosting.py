@@ -38,7 +38,7 @@ class Boosted:
         return np.log(p / p.sum(axis=1, keepdims=True))
 
 
-def boost(x: np.ndarray, y: np.ndarray, classes: int, rounds: int = 20, depth: int = 4,
+def boost(x: np.ndarray, y: np.ndarray, classes: int, rounds: int = 36, depth: int = 5,
           rate: float = 0.4) -> Boosted:
     """Logistic boosting on binned features; complete trees of `depth` levels.
 

@@ -20,7 +20,7 @@ from .boosting import Boosted, boost
 from .common import batches, table, texts_of
 
 #: Pages that the trees are fitted on at most; a longer page than FIT_CHARS teaches nothing.
-FIT_PAGES = 400
+FIT_PAGES = 250
 FIT_CHARS = 60_000
 
 #: Kinds of elements.
