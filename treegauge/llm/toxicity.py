@@ -289,6 +289,18 @@ def toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
                    model.scorer, text)
 
 
+def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "_score") -> DataFrame:
+    """`docs` with all its columns and the score of each row; see `toxicity`."""
+    kept = [c for c in docs.columns if c != score]
+    ddl = ", ".join("`%s` %s" % (c.replace("`", "``"), docs.schema[c].dataType.simpleString())
+                    for c in kept)
+
+    def work(columns: dict, scorer: Scorer) -> dict:
+        return {**{c: columns[c] for c in kept}, score: scorer.scores(bytes_of(columns[text]))}
+
+    return batches(docs.select(*kept), work, "%s, `%s` double" % (ddl, score), model.scorer, text)
+
+
 def op2_toxicity(spark, sf_dir: str, rejected: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     docs = table(spark, sf_dir, "documents")

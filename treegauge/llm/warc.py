@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from treegauge.joins import lookup
 
-from .common import batches, bytes_of, table
+from .common import batches, bytes_of, folder_for, table
 
 #: Longest block of a record; longer ones are segmented.
 SEGMENT = 32 << 10
@@ -228,12 +228,6 @@ def reassembled(read: DataFrame) -> DataFrame:
                    "payload binary, payload_bytes bigint, complete boolean")
 
 
-def folder_for(spark: SparkSession, name: str) -> str:
-    """A new folder where the cluster keeps shared files."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
-    return "%s/%s-%s" % (shared.rstrip("/"), name, uuid.uuid4().hex)
-
-
 def op8_warc(spark, sf_dir: str) -> DataFrame:
     """Every page through an archive and back: payload length, digest, type, what it refers to."""
     folder = folder_for(spark, "warc")
