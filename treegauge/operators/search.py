@@ -169,8 +169,9 @@ def search_index(index: DataFrame, doc_lengths: DataFrame, query: str,
             .orderBy("rank", "path").limit(limit))
 
 
-def _moved_back(positions: Column, by: int) -> Column:
-    return F.transform(positions, lambda p: p - F.lit(by))
+def _moved_back(positions: Column, by: int | Column) -> Column:
+    by = by if isinstance(by, Column) else F.lit(by)
+    return F.transform(positions, lambda p: p - by)
 
 
 def index_state(content: DataFrame, index_paths: DataFrame | None) -> DataFrame:
@@ -189,53 +190,81 @@ def index_state(content: DataFrame, index_paths: DataFrame | None) -> DataFrame:
 # -- many queries -----------------------------------------------------------
 
 def query_terms(queries: DataFrame) -> DataFrame:
-    """`qid, phrase, n_tokens, offset, term` of a table `queries(qid, query)`."""
+    """`qid, phrase, times, n_tokens, offset, term` of a table `queries(qid, query)`.
+
+    `times` is how often the query repeats the phrase; it weighs the score.
+    """
     words = F.filter(F.split(F.replace("query", F.lit('"'), F.lit("")), r"(?U)\s+", -1),
                      lambda w: F.rlike(w, F.lit("[0-9A-Za-z]")))
-    split = F.array_distinct(F.transform(words, lambda w: X.tokens(X.searchable(w))))
-    return (queries.select("qid", F.posexplode(split).alias("phrase", "parts"))
-            .select("qid", "phrase", F.size("parts").alias("n_tokens"),
-                    F.posexplode("parts").alias("offset", "term")))
+    split = F.transform(words, lambda w: X.tokens(X.searchable(w)))
+    counted = F.transform(F.array_distinct(F.col("split")), lambda p: F.struct(
+        p.alias("parts"), F.size(F.filter("split", lambda q: q == p)).alias("times")))
+    return (queries.select("qid", split.alias("split"))
+            .select("qid", F.posexplode(counted).alias("phrase", "found"))
+            .select("qid", "phrase", "found.times", F.size("found.parts").alias("n_tokens"),
+                    F.posexplode("found.parts").alias("offset", "term")))
+
+
+def asked_positions(content: DataFrame, terms: DataFrame) -> DataFrame:
+    """`term, path, t, s, dl`: positions of the asked terms, and per document its length.
+
+    One pass over the text.  A row with the empty term stands for each
+    document; the others are inner joined inside the scan's stage where the
+    asked terms are few, so tokens that nobody asks for go no further.
+    """
+    asked = terms.select("term").distinct().unionByName(
+        content.sparkSession.createDataFrame([("",)], "term string"))
+    forms = prepared(content).select("path", X.tokens("t").alias("t"), X.tokens("s").alias("s"))
+
+    def numbered(name: str, col: int) -> Column:
+        return F.transform(name, lambda w, i: F.struct(
+            w.alias("term"), F.lit(col).alias("col"), i.alias("pos")))
+
+    itself = F.struct(F.lit("").alias("term"), F.lit(0).alias("col"), F.lit(0).alias("pos"))
+    every = F.concat(F.array(itself), numbered("t", 0), numbered("s", 1))
+    rows = forms.select("path", (F.size("t") + F.size("s")).alias("dl"),
+                        F.explode(every).alias("e")).select("path", "dl", "e.*")
+    met = rows.join(asked, "term", "left_semi")
+
+    def places(col: int) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.col("col") == col, F.col("pos"))))
+
+    return met.groupBy("term", "path").agg(places(0).alias("t"), places(1).alias("s"),
+                                           F.first("dl").alias("dl"))
 
 
 def search_many(content: DataFrame, queries: DataFrame, depth: int | None = 50) -> DataFrame:
     """`qid, path, rank, position` for a table of queries.
 
-    Document frequencies are counted from distinct terms per row, so they
-    combine on the map side.  Only documents that hold a query's rarest term
-    can match it: those are the candidates, and every other look-up is keyed
-    by document.  No join here fans out on a frequent term.  What several
-    steps need (frequencies, candidates, lengths: no text) is written down.
+    The corpus is tokenised once; what is written down is, per asked term and
+    document, the positions, and per document its length.  Only documents that
+    hold a query's rarest term can match it: those are the candidates, and the
+    other terms are looked up by document and term together.
     """
-    terms = query_terms(queries)
-    asked = terms.select("term").distinct()
-    df = cut_lineage(term_documents(content).join(asked, "term", "left_semi")
-                     .groupBy("term").agg(F.count(F.lit(1)).alias("term_df")))
-    rare = (terms.join(df, "term").groupBy("qid")
-            .agg(F.min_by("term", F.struct("term_df", "term")).alias("term")))
-    candidates = cut_lineage(
-        term_documents(content).join(rare, "term").select("qid", "path").distinct())
-    tokens = token_rows(content).join(asked, "term", "left_semi")
-    looked = (tokens.join(candidates, "path").join(terms, ["qid", "term"])
-              .select("qid", "path", "phrase", "n_tokens", "col",
-                      (F.col("pos") - F.col("offset")).alias("start")))
-    starts = (looked.groupBy("qid", "path", "phrase", "n_tokens", "col", "start")
-              .agg(F.count(F.lit(1)).alias("parts"))
-              .filter(F.col("parts") == F.col("n_tokens")))
-    tf = starts.groupBy("qid", "path", "phrase").agg(F.count(F.lit(1)).alias("tf"))
-    # Document frequency of a phrase; of one token it is the term's own.
-    phrase_df = (terms.filter(F.col("n_tokens") == 1).join(df, "term")
-                 .select("qid", "phrase", F.col("term_df").alias("df")))
-    longer = terms.filter(F.col("n_tokens") > 1)
-    if not longer.isEmpty():
-        phrase_df = phrase_df.unionByName(_phrase_df(longer, token_rows(content)))
-    sizes = cut_lineage(lengths(content))
+    terms = cut_lineage(query_terms(queries))
+    held = cut_lineage(asked_positions(content, terms))
+    sizes = held.filter(F.col("term") == "").select("path", "dl")
+    found = held.filter(F.col("term") != "").select("term", "path", "t", "s")
     corpus = sizes.agg(F.struct(F.count("path").alias("n"), F.avg("dl").alias("avgdl"))).scalar()
+    df = cut_lineage(found.groupBy("term").agg(F.count(F.lit(1)).alias("term_df")))
+    known = terms.join(df, "term")
+    counts = _phrase_counts(known, found)
+    single = (known.filter(F.col("n_tokens") == 1)
+              .select("qid", "phrase", "times", F.col("term_df").alias("df"), "term"))
+    rare = known.groupBy("qid").agg(F.min_by("term", F.struct("term_df", "term")).alias("term"))
+    candidates = rare.join(found.select("term", "path"), "term").select("qid", "path")
+    hit = candidates.join(single, "qid").join(found, ["term", "path"]).select(
+        "qid", "path", "phrase", "times", "df", (F.size("t") + F.size("s")).alias("tf"))
+    if counts is not None:
+        phrase_df = counts.groupBy("qid", "phrase").agg(F.count(F.lit(1)).alias("df"))
+        hit = hit.unionByName(counts.join(candidates, ["qid", "path"], "left_semi")
+                              .join(phrase_df, ["qid", "phrase"])
+                              .select("qid", "path", "phrase", "times", "df", "tf"))
     needed = terms.select("qid", "phrase").distinct().groupBy("qid").agg(
         F.count(F.lit(1)).alias("n_phrases"))
-    score = -_idf(corpus["n"], F.col("df")) * _weight(F.col("tf"), F.col("dl"), corpus["avgdl"])
-    hits = (tf.join(phrase_df, ["qid", "phrase"]).join(sizes, "path")
-            .withColumn("score", score).groupBy("qid", "path")
+    score = -F.col("times") * _idf(corpus["n"], F.col("df")) * _weight(
+        F.col("tf"), F.col("dl"), corpus["avgdl"])
+    hits = (hit.join(sizes, "path").withColumn("score", score).groupBy("qid", "path")
             .agg(F.sort_array(F.collect_list(F.struct("phrase", "score"))).alias("parts"))
             .join(needed, "qid").filter(F.size("parts") == F.col("n_phrases"))
             # Added in phrase order: copies of a document tie exactly.
@@ -248,15 +277,30 @@ def search_many(content: DataFrame, queries: DataFrame, depth: int | None = 50)
             .select("qid", "path", "rank", "position"))
 
 
-def _phrase_df(terms: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Documents that hold a multi-token phrase, counted per phrase.
+def _phrase_counts(known: DataFrame, found: DataFrame) -> DataFrame | None:
+    """`qid, phrase, times, path, tf` of phrases of several tokens; none if there are none.
 
-    A phrase starts where all its tokens, moved back by their offsets, meet.
+    Documents with the phrase's rarest token are looked at, the other tokens
+    being looked up by document and term; positions moved back by their
+    offsets meet where the phrase starts.
     """
-    found = (tokens.join(terms, "term")
-             .groupBy("qid", "phrase", "n_tokens", "path", "col",
-                      (F.col("pos") - F.col("offset")).alias("start"))
-             .agg(F.count(F.lit(1)).alias("parts"))
-             .filter(F.col("parts") == F.col("n_tokens")))
-    return (found.select("qid", "phrase", "path").distinct()
-            .groupBy("qid", "phrase").agg(F.count(F.lit(1)).alias("df")))
+    longer = known.filter(F.col("n_tokens") > 1)
+    if longer.isEmpty():
+        return None
+    rare = longer.groupBy("qid", "phrase").agg(
+        F.min_by("term", F.struct("term_df", "term")).alias("term"))
+    places = rare.join(found.select("term", "path"), "term").drop("term")
+    parts = places.join(longer, ["qid", "phrase"]).join(found, ["term", "path"]).select(
+        "qid", "phrase", "times", "n_tokens", "path", "offset",
+        *[_moved_back(F.col(c), F.col("offset")).alias(c) for c in ("t", "s")])
+
+    def meet(col: str) -> Column:
+        return F.size(F.aggregate(F.slice("all", 2, F.size("all")), F.col("all")[0][col],
+                                  lambda a, x: F.array_intersect(a, x[col])))
+
+    return cut_lineage(
+        parts.groupBy("qid", "phrase", "times", "n_tokens", "path")
+        .agg(F.array_sort(F.collect_list(F.struct("offset", "t", "s"))).alias("all"))
+        .filter(F.size("all") == F.col("n_tokens"))
+        .select("qid", "phrase", "times", "path", (meet("t") + meet("s")).alias("tf"))
+        .filter("tf > 0"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from treegauge.functions import paths as P, text as X
 from treegauge.functions.times import days_between
@@ -920,39 +920,53 @@ def _(t):
     return eq.summary(eq.differences({"files": old}, {"files": new}, eq.CATALOGUE_AXES))
 
 
+#: Words of a shingle that passages and documents meet on.
+_SHINGLE = 5
+
+
 def _gold(t: Inputs) -> tuple[DataFrame, DataFrame]:
-    """Questions are benchmark passages; targets share a whole sentence with them.
+    """Questions are benchmark passages; targets are documents that hold the whole passage.
 
-    Sentences meet on equality.  Those of the benchmark are few, so a line
-    that every document repeats still joins with a bounded side.
+    Hashed word shingles meet; a document with as many of a passage's shingles
+    as there are is then tested for the text itself.  The first and last word
+    are left out of the shingles, for a document may continue them.
     """
-    def sentences(df: DataFrame, key: str) -> DataFrame:
-        return df.select(F.col(key), F.explode(F.array_distinct(
-            F.split("text", r"[.\n]\s*", -1))).alias("s")).filter(F.length("s") > 40)
+    def shingles(words: Column) -> Column:
+        return F.array_distinct(F.when(F.size(words) >= _SHINGLE, F.transform(
+            F.sequence(F.lit(1), F.size(words) - _SHINGLE + 1),
+            lambda i: F.xxhash64(F.slice(words, i, _SHINGLE)))).otherwise(
+            F.array().cast("array<bigint>")))
 
     asked = t.table("benchmark")
     kind = (F.when(F.length("text") < 160, "A").when(F.length("text") < 260, "B").otherwise("C"))
     pairs = asked.select(F.col("item_id").alias("qid"), kind.alias("class"),
                          F.col("text").alias("query"))
-    gold = (sentences(asked, "item_id").join(sentences(t.docfiles(), "path"), "s")
-            .select(F.col("item_id").alias("qid"), F.col("path").alias("target")).distinct())
+    words = F.split("text", r"\s+", -1)
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    wanted = asked.select(F.col("item_id").alias("qid"), shingles(inner).alias("all")).select(
+        "qid", F.size("all").alias("n"), F.explode("all").alias("h"))
+    docs = t.docfiles().select("path", "text")
+    met = docs.select("path", F.explode(shingles(words)).alias("h")).join(wanted, "h").groupBy(
+        "qid", "path", "n").agg(F.count(F.lit(1)).alias("m")).filter("m = n")
+    gold = (met.join(docs, "path").join(pairs.select("qid", "query"), "qid")
+            .filter(F.contains("text", "query"))
+            .select("qid", F.col("path").alias("target")))
     return pairs, gold
 
 
-_GOLD_SQL = """, sa AS (SELECT DISTINCT item_id AS qid, unnest(regexp_split_to_array(text, '[.\\n]\\s*')) AS s FROM benchmark),
-sb AS (SELECT DISTINCT path, unnest(regexp_split_to_array(text, '[.\\n]\\s*')) AS s FROM docfiles),
-gold AS (SELECT DISTINCT qid, path AS target FROM sa JOIN sb USING (s) WHERE length(s) > 40),
+_GOLD_SQL = """, gold AS (SELECT b.item_id AS qid, path AS target FROM benchmark b JOIN docfiles d ON contains(d.text, b.text)),
 pairs AS (SELECT item_id AS qid, CASE WHEN length(text) < 160 THEN 'A' WHEN length(text) < 260 THEN 'B' ELSE 'C' END
   AS class, text AS query FROM benchmark),
 tok AS (SELECT path, unnest(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+')) AS term FROM docfiles),
 dls AS (SELECT path, count(*) AS dl FROM tok GROUP BY path),
 tfs AS (SELECT path, term, count(*) AS tf FROM tok GROUP BY path, term),
 dfs AS (SELECT term, count(*) AS df FROM tfs GROUP BY term),
-qt AS (SELECT DISTINCT qid, unnest(regexp_extract_all(strip_accents(lower(query)), '[\\p{L}\\p{N}]+')) AS term FROM pairs),
+qt AS (SELECT qid, term, count(*) AS times FROM (SELECT qid, unnest(regexp_extract_all(strip_accents(lower(query)),
+  '[\\p{L}\\p{N}]+')) AS term FROM pairs) GROUP BY qid, term),
 qn AS (SELECT qid, count(*) AS n FROM qt GROUP BY qid),
 cs AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dls),
 lex AS (SELECT qid, path, row_number() OVER (PARTITION BY qid ORDER BY round(rank, 9), path) AS position FROM (
-  SELECT q.qid, t.path, -sum(CASE WHEN ln((cs.n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6
+  SELECT q.qid, t.path, -sum(times * CASE WHEN ln((cs.n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6
      ELSE ln((cs.n - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS rank,
      count(*) AS matched
   FROM qt q JOIN tfs t USING (term) JOIN dfs USING (term) JOIN dls USING (path) CROSS JOIN cs GROUP BY q.qid, t.path)
