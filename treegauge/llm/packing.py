@@ -10,12 +10,11 @@ of all pieces or one partition holds what is left.
 from __future__ import annotations
 
 import zlib
-from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import (ArrayType, IntegerType, LongType, StructField, StructType)
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import batches, settle, table, texts_of
 from .pieces import loaded
