@@ -25,7 +25,7 @@ from .common import batches, bytes_of, table
 
 #: Labelled documents of each class that a model is fitted on, those of least hash; of
 #: these, longer ones are left to the other documents.  Both bound the fit, not the scoring.
-FIT_DOCS = 3000
+FIT_DOCS = 2500
 FIT_BYTES = 40_000
 #: Every fourth fitted document calibrates and is kept from the dictionaries.
 CALIBRATE = 4
@@ -198,8 +198,9 @@ def fit(rows: list[tuple[bytes, int]]) -> Model:
     split = [[t for t, y in rows if y == label] for label in (1, 0)]
     if not all(split):
         return Model(b" ", b" ", 1.0, [], 0.9 if split[0] else 0.05)
-    learn = [[windows(t) for i, t in enumerate(own) if i % CALIBRATE or len(own) < CALIBRATE]
-             for own in split]
+    same: dict[bytes, bytes] = {}  # one object per distinct word
+    learn = [[[same.setdefault(w, w) for w in windows(t)] for i, t in enumerate(own)
+              if i % CALIBRATE or len(own) < CALIBRATE] for own in split]
     toxic, ordinary = unlike(learn[0]), unlike(learn[1])
     marks = telling(toxic, ordinary)
     passages: Counter = Counter()
