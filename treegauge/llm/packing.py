@@ -3,8 +3,9 @@
 Pieces are dealt into partitions and each is packed best-fit decreasing.  Dual
 feasible functions bound from below how few sequences a partition could use.
 Where sequences stay unfilled, their pieces are exchanged: they are dealt
-anew into fewer partitions and packed again, until the total meets the bound
-of all pieces or one partition holds what is left.
+anew into as many partitions as they still need and packed again, until the
+total meets the bound of all pieces, one partition holds what is left, or no
+sequence can be filled.
 """
 
 from __future__ import annotations
@@ -94,7 +95,12 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     and the rounding functions x -> floor((k + 1) x) / k, which keep x where
     (k + 1) x is whole.
     """
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    return bound_of(np.bincount(lengths, minlength=capacity + 1), capacity)
+
+
+def bound_of(count: np.ndarray, capacity: int) -> int:
+    """The same from the number of pieces of each length, 0 to `capacity`."""
+    count = count.astype(np.int64)
     size = np.arange(capacity + 1, dtype=np.int64)
     best = -(-int((count * size).sum()) // capacity)
     below = np.cumsum(count)
@@ -144,18 +150,21 @@ def pack(found: DataFrame, capacity: int, length: str = "length", deal: str = "d
 
     Every row is placed once; offsets are gapless from 0.  Lengths are 1 to
     `capacity`.  An empty table gives an empty one.  Equal lengths and
-    repeated rows are packed one by one.  Per partition the packing reports
-    its bin count and bound; only a partition whose bins are full, or the last
-    round, is final.
+    repeated rows are packed one by one.  Filled sequences are final; the
+    others are exchanged while the bound of all pieces is not met.
     """
     found = settle(found.drop("sequence_id", "offset", "_bucket", "_fill", "_bins", "_bound"))
     columns = [c for c in found.columns if c != deal]
-    totals = found.agg(F.count(F.lit(1)).alias("rows"), F.sum(length).alias("tokens"),
-                       F.max(length).alias("longest")).first()
+    counts = found.groupBy(F.col(length).alias("n")).agg(F.count(F.lit(1)).alias("times"))
+    if not counts.where(F.col("n") > capacity).isEmpty():
+        raise ValueError("a piece is longer than a sequence")
+    # At most one row for each length up to the capacity.
+    times = np.zeros(capacity + 1, np.int64)
+    for row in counts.collect():
+        times[row["n"]] = row["times"]
+    least = bound_of(times, capacity)
     out = StructType([found.schema[c] for c in columns]
                      + [StructField("sequence_id", LongType()), StructField("offset", LongType())])
-    if totals["longest"] is not None and totals["longest"] > capacity:
-        raise ValueError("a piece is longer than a sequence")
 
     def placed(rows: DataFrame, number: int, buckets: int) -> DataFrame:
         def work(group: pd.DataFrame) -> pd.DataFrame:
@@ -181,32 +190,34 @@ def pack(found: DataFrame, capacity: int, length: str = "length", deal: str = "d
     whole = found.where(F.col(length) == capacity).select(
         *columns, F.monotonically_increasing_id().alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"))
-    done = [whole]
+    done, used = [whole], int(times[capacity])
     rest = found.where(F.col(length) < capacity)
-    sums = rest.agg(F.count(F.lit(1)).alias("rows"), F.sum(length).alias("tokens")).first()
-    before = None
+    rows, tokens = int(times[:capacity].sum()), int((times * np.arange(capacity + 1))[:capacity].sum())
     for number in range(1, ROUNDS + 1):
-        if not sums["rows"]:
+        if not rows:
             break
-        buckets = max(1, -(-sums["tokens"] // PARTITION_TOKENS), -(-sums["rows"] // PARTITION_PIECES))
-        last = number == ROUNDS or buckets == 1 or (before is not None and buckets >= before)
+        buckets = max(1, -(-tokens // PARTITION_TOKENS), -(-rows // PARTITION_PIECES))
         result = placed(rest, number, buckets)
-        report = result.agg(F.sum("_bins").alias("bins"), F.sum("_bound").alias("bound")).first()
-        certified = report["bins"] == report["bound"] and buckets == 1
+        full = F.col("_fill") == capacity
+        report = result.agg(F.sum("_bins").alias("bins"), F.sum("_bound").alias("bound"),
+                            F.count_if(full & (F.col("offset") == 0)).alias("full"),
+                            F.count_if(~full).alias("rows"),
+                            F.sum(F.when(~full, F.col(length))).alias("tokens")).first()
         keep = result.select(*columns, "sequence_id", "offset", "_fill")
-        if last or certified:
+        # Certified: one partition at its bound, or all of them at the bound of all pieces.
+        certified = used + report["bins"] == least or buckets == 1 and report["bins"] == report["bound"]
+        if certified or buckets == 1 or not report["full"] or number == ROUNDS:
             done.append(keep.drop("_fill"))
             break
-        done.append(keep.where(F.col("_fill") == capacity).drop("_fill"))
-        # Exchange: pieces of unfilled sequences are dealt anew among fewer partitions.
-        rest = result.where(F.col("_fill") < capacity).select(
-            *columns, F.xxhash64(deal, F.lit(number)).alias(deal))
-        sums = rest.agg(F.count(F.lit(1)).alias("rows"), F.sum(length).alias("tokens")).first()
-        before = buckets
+        done.append(keep.where(full).drop("_fill"))
+        used += report["full"]
+        # Exchange: pieces of unfilled sequences are dealt anew among as many partitions as they need.
+        rest = result.where(~full).select(*columns, F.xxhash64(deal, F.lit(number)).alias(deal))
+        rows, tokens = report["rows"], report["tokens"] or 0
     packed = done[0]
     for part in done[1:]:
         packed = packed.unionByName(part)
-    return found.sparkSession.createDataFrame([], out) if not totals["rows"] else packed
+    return packed if times.any() else found.sparkSession.createDataFrame([], out)
 
 
 def sequences(found: DataFrame, capacity: int) -> DataFrame:
