@@ -1,8 +1,11 @@
 import datetime as dt
 import random
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from treegauge import Refused
 from treegauge.streaming import events as evt, service as svc
 
 T0 = dt.datetime(2024, 1, 1)
@@ -109,11 +112,22 @@ def test_serve_updates_each_hit_project_and_survives_a_refusal(spark, tmp_path):
     def update(project):
         done.append(project)
         if project == "a":
-            raise RuntimeError("refused")
+            raise Refused("refused")
 
     svc.serve(evt.event_stream(spark, folder), kept, update, str(tmp_path / "ck")).awaitTermination(120)
     assert done == ["a", "b"]
 
+    def broken(project):
+        raise OSError("the disk is full")
+
+    # Any other failure fails the batch; a restart replays it.
+    query = svc.serve(evt.event_stream(spark, folder), kept, broken, str(tmp_path / "again"))
+    with pytest.raises(StreamingQueryException):
+        query.awaitTermination(120)
+    done.clear()
+    svc.serve(evt.event_stream(spark, folder), kept, update, str(tmp_path / "again")).awaitTermination(120)
+    assert done == ["a", "b"]
+
 
 def test_sweep_reports_unwatched_projects(spark, rows):
     journal = spark.createDataFrame([("/w/a/x", "changed"), ("/w/b/x", "added"), ("/w/c/x", "unchanged")],
@@ -133,6 +147,6 @@ def test_a_journal_reads_as_events(spark):
 def test_sweep_windows(spark):
     df = spark.createDataFrame([(T0 + dt.timedelta(minutes=m), "p") for m in (0, 29, 30, 95)],
                                "ts timestamp, project_id string")
-    got = [(r["start"].hour * 60 + r["start"].minute, r["events"])
+    got = [(r["start"].hour * 60 + r["start"].minute, r["events"], r["about_projects"])
            for r in svc.sweep_windows(df).orderBy("start").collect()]
-    assert got == [(0, 2), (30, 1), (90, 1)]
+    assert got == [(0, 2, 1), (30, 1, 1), (90, 1, 1)]

@@ -1,6 +1,5 @@
 import fnmatch
 
-import pytest
 from pyspark.sql import functions as F
 
 from treegauge.operators import scope as sc
@@ -136,6 +135,10 @@ def test_folder_rules_take_the_outermost_junk(spark, rows):
         ("/f", "include"), ("/f/a/venv", "exclude"), ("/f/dist", "exclude")]
 
 
-def test_long_rule_lists_are_refused_as_literals(spark):
-    with pytest.raises(ValueError):
-        sc.rule_mode("path", [("/%d" % i, "include") for i in range(300)])
+def test_long_rule_lists_and_tables_of_rules(spark, rows):
+    files = spark.createDataFrame([("/%d/a" % i, "file") for i in range(600)], "path string, kind string")
+    rules = [("/%d" % i, "include") for i in range(300)] + [("/7/a", "exclude")]
+    want = sorted(("/%d/a" % i,) for i in range(300) if i != 7)
+    assert rows(sc.members(files, rules), "path") == want
+    table = spark.createDataFrame(rules, "path string, mode string")
+    assert rows(sc.members(files, table), "path") == want

@@ -11,7 +11,7 @@ from treegauge.operators import embed
 def _chunks(text):
     if "\0" in text[:8192]:
         return []
-    text, out, start = text[:1 << 20], [], 0
+    out, start = [], 0
     while True:
         piece = text[start:start + 1000].strip()
         if piece:

@@ -49,8 +49,3 @@ def described_age(stamp: Column, now: Column, opened: Column) -> Column:
 
 def days_between(later: Column, earlier: Column) -> Column:
     return (F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(86400e6)
-
-
-def iso_stamp(ts: Column) -> Column:
-    """A stamp that carries its offset."""
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ssXXX")

@@ -9,19 +9,6 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.types import DoubleType
 
 
-@F.arrow_udf(DoubleType())
-def cosine(left: pa.Array, right: pa.Array) -> pa.Array:
-    """Row-wise cosine of two equally wide vector columns, 0 for zero norms."""
-    n = len(left)
-    if n == 0:
-        return pa.array([], pa.float64())
-    a = left.flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(n, -1)
-    b = right.flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(n, -1)
-    norms = np.sqrt((a * a).sum(1) * (b * b).sum(1))
-    dots = (a * b).sum(1)
-    return pa.array(np.divide(dots, norms, out=np.zeros(n), where=norms > 0))
-
-
 def cosine_to(vector: Column, query: list[float]) -> Column:
     """Cosine of a vector column with one query vector (a parameter).
 

@@ -7,9 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 # Meta keys that are facts about a run and not about the state.
-RUN_FACTS = ("project_id", "l0_scanned_at", "last_update", "embed_at", "l0_seconds",
-             "l2_seconds", "l3_seconds", "l4_seconds", "embed_seconds",
-             "embed_processes")
+RUN_FACTS = ("project_id", "l0_scanned_at", "last_update", "embed_at", "l0_seconds")
 
 PROJECT_AXES = {
     "content": ("content", ("path", "sha256", "reason")),
@@ -31,10 +29,7 @@ def _keyed(layer: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """One comparable string per row; NULL and empty stay different."""
     if columns == ("key", "value"):
         layer = layer.filter(~F.col("key").isin(*RUN_FACTS))
-    parts = [F.coalesce(F.to_json(F.struct(F.col(c).alias("v"))), F.lit("null"))
-             if c == "vector" else F.coalesce(F.col(c).cast("string"), F.lit("\0"))
-             for c in columns]
-    return layer.select(F.concat_ws("\1", *parts).alias("key"))
+    return layer.select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("key"))
 
 
 def differences(left: dict[str, DataFrame], right: dict[str, DataFrame],

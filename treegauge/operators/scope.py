@@ -18,13 +18,11 @@ from ..schemas import CHECKED, DIR, EXCLUDE, FILE, INCLUDE, PARTIAL, UNCHECKED
 JUNK = ("node_modules", ".venv", "venv", ".git", "__pycache__", ".mypy_cache",
         ".pytest_cache", ".tox", "target", "dist", "build", ".next", ".cache")
 
-LITERAL_RULES = 200
-
-
 def rule_mode(path, rules: list[tuple[str, str]]) -> Column:
-    """Mode of the innermost covering rule from a short rule list, or NULL."""
-    if len(rules) > LITERAL_RULES:
-        raise ValueError("use innermost_rule for long rule lists")
+    """Mode of the innermost covering rule, or NULL; the expression grows with the rules.
+
+    For streams and short lists; `innermost_rule` joins a table of any length.
+    """
     last = dict(rules)
     chosen = F.lit(None).cast("string")
     # Longest last in the fold, so it is tested first.
@@ -208,14 +206,19 @@ def with_ignored(files: DataFrame, ignore_files: DataFrame) -> DataFrame:
 
 # -- membership -------------------------------------------------------------
 
-def members(files: DataFrame, rules: list[tuple[str, str]],
+def members(files: DataFrame, rules: DataFrame | list[tuple[str, str]],
             root: str | None = None,
             ignore_files: DataFrame | None = None) -> DataFrame:
     """Rows in scope: an include rule covers them and no ignore file objects.
 
+    `rules` is a table (path, mode) of any length, or a list of such pairs.
     Ignore files at or below `root` decide under `root`; elsewhere only rules.
     """
-    chosen = files.filter(rule_mode("path", rules) == INCLUDE)
+    if not isinstance(rules, DataFrame):
+        rules = files.sparkSession.createDataFrame(list(dict(rules).items()),
+                                                   "path string, mode string")
+    chosen = (innermost_rule(files, rules.dropDuplicates(["path"]))
+              .filter(F.col("mode") == INCLUDE).select(*files.columns))
     if root is None or ignore_files is None:
         return chosen
     local = ignore_files.filter(P.under("base", root))

@@ -47,15 +47,6 @@ def expiring(snapshots: DataFrame, now: Column, within: float = WARN_DAYS) -> Da
             .filter(F.col("days_left") <= within).orderBy("days_left", "project_id"))
 
 
-def verified(copies: DataFrame, project_id: str, project_path: str) -> DataFrame:
-    """Snapshots that read back as this very project.
-
-    `copies(snapshot_id, taken_at, project_id, project_path, intact)`.
-    """
-    return copies.filter(F.col("intact") & (F.col("project_id") == project_id)
-                         & (F.col("project_path") == project_path))
-
-
 def restorable(copies: DataFrame) -> DataFrame:
     """The newest snapshot per project that verifies, not simply the newest."""
     return (copies.filter("intact").groupBy("project_id")

@@ -13,12 +13,13 @@ import secrets
 import time
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import Refused
 from ..operators import (catalogue as cat, content as con, embed, equivalence as eq, freshness,
                          fusion, graph, identity, journal, scope, search, snapshots, tree)
-from ..schemas import DIR, FILE, HASHED_FILES, VECTORS
+from ..schemas import FILE, HASHED_FILES, VECTORS
 from ..sources import files as readers, tree as walker
 
 LIVING, GONE = "living", "deleted"
@@ -50,7 +51,9 @@ class Workspace:
     def meta_rows(self) -> DataFrame:
         try:
             rows = self.spark.read.parquet(self.folder + "/meta")
-        except Exception:  # noqa: BLE001 - nothing was ever written
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_NOT_FOUND":  # else nothing was ever written
+                raise
             return self.spark.createDataFrame([], "store string, key string, value string")
         return cat.latest_meta(rows)
 
@@ -94,7 +97,9 @@ class Workspace:
         try:
             rows = self.spark.read.option("sep", "\t").schema(
                 "stamp double, command string, reason string").csv(self.folder + "/refusals")
-        except Exception:  # noqa: BLE001 - nothing was ever refused
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_NOT_FOUND":  # else nothing was ever refused
+                raise
             rows = self.spark.createDataFrame([], "stamp double, command string, reason string")
         return rows.groupBy("command").agg(F.count(F.lit(1)).alias("refused"),
                                            F.max("stamp").alias("last"))
@@ -229,9 +234,9 @@ class Workspace:
             if self.has(project, "content"):
                 now = self.recognise(project)
                 if now["verdict"] != identity.PRESENT:
-                    raise Refused("the project is no longer at %s: %s %s"
+                    raise Refused("nothing of the project is left in %s: %s %s"
                                   % (root, now["verdict"], now["path"] or ""))
-            raise Refused("the catalogue has never seen %s; scan first" % root)
+            raise Refused("no scan has covered %s yet" % root)
         layer = self.write(project, "content", con.classify(
             readers.read_bytes(self._scoped(project))))
         found = self.write(project, "links", graph.resolve(layer, root))
@@ -357,7 +362,8 @@ class Workspace:
         layer = self.read(project, "content")
         out["tally"] = {r["name"]: r["n"] for r in con.tally(layer).toLocalIterator()}
         out["freshness"] = freshness.tally(self.states(project)).first().asDict()
-        out["index"] = search.index_state(layer, self._index(project)[1]).first().asDict()
+        lengths = self._index(project)[1] if "index" in out else None
+        out["index"] = search.index_state(layer, lengths).first().asDict()
         out["embedded"] = self.embedding_coverage(project)
         out["in_scope"] = scope.scope_sizes(
             self.catalogue(), self.projects().filter(F.col("project_id") == project),
@@ -481,9 +487,3 @@ class Workspace:
 
     def differences(self, left: str, right: str) -> DataFrame:
         return eq.differences(self.store_layers(left), self.store_layers(right))
-
-    def root_known(self, wanted: str) -> bool:
-        project = self.resolve(wanted)
-        return not (self.catalogue().filter(
-            (F.col("path") == self.meta(project)["project_path"]) & (F.col("kind") == DIR))
-            .isEmpty())

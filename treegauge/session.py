@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -23,42 +20,34 @@ DEFAULTS = {
 
 def build_session(master: str | None = None, app: str = "treegauge",
                   **extra: str) -> SparkSession:
-    """A session with the defaults above; `master` only for local runs."""
+    """A session with the defaults above; `master` only for local runs.
+
+    A local run that names no checkpoint folder keeps one in the warehouse.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false")
     for key, value in {**DEFAULTS, **extra}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    context = spark.sparkContext
+    context.setLogLevel("ERROR")
+    if master and not (context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)):
+        context.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
     return spark
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder the cluster names.
 
-    The folder comes from `spark.checkpoint.dir`.  Only a local master, where
-    every executor is this machine, may fall back to a temporary folder.
+    The folder comes from `spark.checkpoint.dir`; without one nothing is
+    written anywhere.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared:
-            if not context.master.startswith("local"):
-                raise RuntimeError(
-                    "set spark.checkpoint.dir to a folder all executors share")
-            shared = os.path.join(tempfile.gettempdir(),
-                                  "treegauge-checkpoints-%d" % os.getpid())
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Share rows out when a plain scan has fewer splits than there are cores.
-
-    A scan with splits enough is returned as it is, so large inputs are never
-    shuffled for this.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

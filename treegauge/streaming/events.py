@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import paths as P
 from ..joins import lookup
-from ..operators.scope import LITERAL_RULES
 from ..schemas import ADDED, EVENTS, REMOVED, UNCHANGED
 
 # Bits of an event mask.
@@ -88,10 +87,9 @@ def owner(path, roots: dict[str, str]) -> Column:
     """Project of the longest root over `path` (roots: path -> project).
 
     The first covering root decides alone, even if its scope then says no.
-    Stateless, so it suits streams; the registry is a short parameter.
+    Stateless, so it suits streams.  The expression grows with the registry;
+    `attribute` joins a table of any length.
     """
-    if len(roots) > LITERAL_RULES:
-        raise ValueError("use attribute for long registries")
     chosen = F.lit(None).cast("string")
     for root in sorted(roots, key=len):
         chosen = F.when(P.under(path, root), F.lit(roots[root])).otherwise(chosen)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
+from .. import Refused
 from ..schemas import UNCHANGED
 
 # How often the whole catalogue is compared, how long it must
@@ -15,10 +16,14 @@ DEBOUNCE = "2 seconds"
 
 
 def sweep_windows(events: DataFrame, every: str = SWEEP) -> DataFrame:
-    """Events per sweep interval (batch or streaming)."""
-    return (events.groupBy(F.window("ts", every).alias("w"))
-            .agg(F.count(F.lit(1)).alias("events"),
-                 F.approx_count_distinct("project_id").alias("about_projects"))
+    """Events per sweep interval, and how many projects they are about.
+
+    Counted per interval and project first, so a busy interval is merged before
+    the shuffle and its projects are counted exactly.
+    """
+    return (events.groupBy(F.window("ts", every).alias("w"), "project_id")
+            .agg(F.count(F.lit(1)).alias("n")).groupBy("w")
+            .agg(F.sum("n").alias("events"), F.count("project_id").alias("about_projects"))
             .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"),
                     "events", "about_projects"))
 
@@ -107,8 +112,9 @@ def serve(events: DataFrame, kept: Callable[[DataFrame], DataFrame],
     """Update every project a micro-batch has kept events for.
 
     `kept` is called per batch, so scope is read again from the tree each
-    time.  Only project ids reach the driver.  A failing update is reported
-    and the run goes on for the other projects.
+    time.  Only project ids reach the driver.  A refused update is reported
+    and the run goes on for the other projects; any other failure fails the
+    batch, which is then replayed from the checkpoint.
     """
     def act(batch: DataFrame, _batch_id: int) -> None:
         hit = kept(batch).select("project_id").filter(
@@ -116,7 +122,7 @@ def serve(events: DataFrame, kept: Callable[[DataFrame], DataFrame],
         for row in hit.orderBy("project_id").toLocalIterator():
             try:
                 update(row["project_id"])
-            except Exception as problem:  # noqa: BLE001
+            except Refused as problem:
                 print("REFUSED %s: %s" % (row["project_id"], problem))
 
     writer = events.writeStream.foreachBatch(act).option("checkpointLocation", checkpoint)

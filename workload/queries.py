@@ -7,14 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from treegauge.functions import paths as P, text as X
-from treegauge.functions.times import days_between
 from treegauge.operators import (catalogue as cat, content as con, embed, equivalence as eq,
                                  evaluate as ev, freshness as fr, fusion as fu, graph as gr,
                                  identity as idn, journal as jo, scope as sc, search as se,
                                  snapshots as sn, tree as tr)
 from treegauge.streaming import events as evt, service as svc
 
-from .bindings import CTE, SCOPE, Inputs, with_ctes
+from .bindings import SCOPE, Inputs, with_ctes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -1151,10 +1150,10 @@ def _ntz(df: DataFrame, *columns: str) -> DataFrame:
 @query("sweep_windows", """
 SELECT time_bucket(INTERVAL 30 MINUTE, ts, TIMESTAMP '2000-01-01') AS start,
   time_bucket(INTERVAL 30 MINUTE, ts, TIMESTAMP '2000-01-01') + INTERVAL 30 MINUTE AS "end",
-  count(*) AS events FROM events GROUP BY 1, 2""")
+  count(*) AS events, count(DISTINCT user_id) AS about_projects FROM events GROUP BY 1, 2""")
 def _(t):
     events = t.watched().select("ts", F.col("user_id").alias("project_id"))
-    return _ntz(svc.sweep_windows(events).select("start", "end", "events"), "start", "end")
+    return _ntz(svc.sweep_windows(events), "start", "end")
 
 
 @query("sweep_hits", with_ctes("passes", "journal") + """
