@@ -351,10 +351,15 @@ def lessons(html: str, number: int) -> list[str]:
 def learn(pages: DataFrame, html: str = "html") -> Boosted | None:
     """Trees from at most FIT_PAGES pages of at most FIT_CHARS, those of least hash.
 
-    Only those pages reach the driver.  Without any page there is no model.
+    Hashes are ordered first, so only pages that are picked move, and only
+    they reach the driver.  Without any page there is no model.
     """
-    rows = pages.where(F.char_length(html).between(1, FIT_CHARS)).select(html).distinct().orderBy(
-        F.xxhash64(html), html).limit(FIT_PAGES).collect()
+    short = pages.where(F.char_length(html).between(1, FIT_CHARS)).select(
+        html, F.xxhash64(html).alias("_hash"))
+    picked = [r["_hash"] for r in short.select("_hash").distinct().orderBy("_hash").limit(
+        FIT_PAGES).collect()]
+    rows = sorted(short.where(F.col("_hash").isin(picked)).groupBy("_hash").agg(
+        F.min(html).alias(html)).select(html, "_hash").collect(), key=lambda r: r["_hash"])
     read = [Page(v) for i, r in enumerate(rows) for v in lessons(r[0], i)]
     if not read:
         return None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import sql
 from .decontaminate import op1_decontaminate
 from .html_text import op7_html_text
 from .ordinal import op5_ordinal
@@ -26,4 +27,7 @@ QUERIES = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_quality_rules": sql.QUALITY_RULES,
+    "op8_warc": sql.WARC,
+}
