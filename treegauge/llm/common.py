@@ -35,8 +35,9 @@ def batches(df: DataFrame, work: Callable[[dict], dict], schema: str,
 
     `work(columns)` gets a dict of Arrow columns and returns a dict of columns
     (lists, numpy or Arrow arrays) in the order of `schema`; with `start`, it
-    gets `start()` (made once per task) as a second argument.  `text` names
-    the column whose bytes bound a slice.
+    gets `start()` (made once per task) as a second argument, whose `rest()`,
+    if it has one, ends the task.  `text` names the column whose bytes bound a
+    slice.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -52,6 +53,8 @@ def batches(df: DataFrame, work: Callable[[dict], dict], schema: str,
                 yield pa.RecordBatch.from_arrays(
                     [v if isinstance(v, pa.Array) else pa.array(v, f.type)
                      for v, f in zip(made.values(), out, strict=True)], schema=out)
+        for own in more:
+            getattr(own, "rest", lambda: None)()
 
     return df.mapInArrow(run, schema)
 

@@ -40,14 +40,19 @@ def pieces(docs: DataFrame, path: str, capacity: int, end: int, doc_id: str = "d
     schema = ("doc_id %s, piece int, start bigint, length bigint, ids_crc32 bigint, deal bigint"
               % id_type) + (", ids array<int>" if with_ids else "")
 
-    def begin():
-        from pyspark import TaskContext
+    class Task:
+        """The worker's tokenizer and how many pieces this task has dealt."""
 
-        context = TaskContext.get()
-        return [loaded(path, keep_ids=True), context.partitionId() if context else 0]
+        def __init__(self) -> None:
+            from pyspark import TaskContext
 
-    def work(columns: dict, state: list) -> dict:
-        known = state[0]
+            context = TaskContext.get()
+            self.known = loaded(path, keep_ids=True)
+            self.dealt = context.partitionId() if context else 0
+            self.rest = self.known.rest
+
+    def work(columns: dict, task: Task) -> dict:
+        known = task.known
         texts = texts_of(columns[text])
         # The tokenizer drops white space, so words stand alone.
         words = [t.replace("\n", " ").split(" ") for t in texts]
@@ -69,15 +74,15 @@ def pieces(docs: DataFrame, path: str, capacity: int, end: int, doc_id: str = "d
                     out["ids"].append(part.astype(np.int32))
         n = len(out["row"])
         # A walk by the golden ratio from a start of the task's own.
-        steps = (np.arange(n, dtype=np.uint64) + np.uint64(state[1])) * np.uint64(
+        steps = (np.arange(n, dtype=np.uint64) + np.uint64(task.dealt)) * np.uint64(
             0x9E3779B97F4A7C15)
-        state[1] += n + 7919
+        task.dealt += n + 7919
         made = {"doc_id": columns[doc_id].take(pa_indices(out["row"])), "piece": out["piece"],
                 "start": out["start"], "length": out["length"], "crc": out["crc"],
                 "deal": (steps >> np.uint64(1)).astype(np.int64)}
         return {**made, "ids": out["ids"]} if with_ids else made
 
-    return batches(docs.select(doc_id, text), work, schema, begin, text)
+    return batches(docs.select(doc_id, text), work, schema, Task, text)
 
 
 def pa_indices(rows: list[int]):

@@ -50,8 +50,7 @@ class PieceTokens:
     def numbers(self, pieces: list[str]) -> np.ndarray:
         """Each piece's place in `lengths` and `starts`; good until the next call."""
         if len(self.index) > REMEMBERED:
-            self.index = dict(islice(self.index.items(), KEPT))
-            self.used = int(self.starts[KEPT])
+            self.rest()
         found = np.fromiter(map(self.index.get, pieces, repeat(-1)), np.int64, len(pieces))
         new = np.flatnonzero(found < 0)
         if len(new):
@@ -59,6 +58,12 @@ class PieceTokens:
             found[new] = np.fromiter((self.index[pieces[i]] for i in new), np.int64, len(new))
         return found
 
+    def rest(self) -> None:
+        """Forget all but the first KEPT pieces, as at the end of a task."""
+        if len(self.index) > KEPT:
+            self.index = dict(islice(self.index.items(), KEPT))
+            self.used = int(self.starts[KEPT])
+
     def lengths_of(self, pieces: list[str]) -> np.ndarray:
         numbers = self.numbers(pieces)  # first: it may replace the arrays
         return self.lengths[numbers]
