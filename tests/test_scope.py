@@ -142,3 +142,16 @@ def test_long_rule_lists_and_tables_of_rules(spark, rows):
     assert rows(sc.members(files, rules), "path") == want
     table = spark.createDataFrame(rules, "path string, mode string")
     assert rows(sc.members(files, table), "path") == want
+
+
+def test_fifty_thousand_rules_in_one_file(spark):
+    """Against reading the rules one by one: the last that names a file decides."""
+    lines = ["%sf%d" % ("!" if i % 7 == 0 else "", i % 900) for i in range(50_000)]
+    last = {}
+    for line in lines:
+        last[line.lstrip("!")] = not line.startswith("!")
+    files = spark.createDataFrame([("/r/f%d" % i, "file") for i in range(0, 1000, 20)], "path string, kind string")
+    ignore = spark.createDataFrame([("/r", "\n".join(lines))], "base string, text string")
+    got = {r["path"]: r["ignored"] for r in sc.with_ignored(files, ignore).collect()}
+    assert got == {p: last.get(p[3:], False) for p in got} and len(got) == 50
+    assert set(got.values()) == {True, False}

@@ -8,7 +8,7 @@ files contributes one row to the fan-out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from ..functions import paths as P
 from ..joins import lookup
@@ -114,34 +114,20 @@ def pattern_regex(rule: Column) -> Column:
                                 .otherwise(F.lit("")), F.lit(")"))))
 
 
-def _fold_rules(rules: Column) -> Column:
-    """Fold "last match wins" into two expressions: ignored, and kept.
+def _runs(rules: DataFrame, name: str) -> DataFrame:
+    """`base, name`: the rules of each file as runs of one sign, in order.
 
-    Reading rules in order, an ignoring rule widens `ignored` and narrows
-    `kept`; a negated rule does the opposite.  A path that matches neither was
-    not mentioned.
+    A run is one flat alternation, so its depth does not grow with the file.
     """
-    def widened(rx: Column, current: Column) -> Column:
-        return F.concat(F.lit("(?:"), rx, F.lit("|"), current, F.lit(")"))
-
-    def narrowed(rx: Column, current: Column) -> Column:
-        return F.concat(F.lit("(?:(?!"), rx, F.lit("\\z)"), current, F.lit(")"))
-
-    def step(acc: Column, rule: Column) -> Column:
-        toward = F.struct(widened(rule["rx"], acc["ignored"]).alias("ignored"),
-                          narrowed(rule["rx"], acc["kept"]).alias("kept"))
-        away = F.struct(narrowed(rule["rx"], acc["ignored"]).alias("ignored"),
-                        widened(rule["rx"], acc["kept"]).alias("kept"))
-        return F.when(rule["negated"], away).otherwise(toward)
-
-    nothing = F.lit("(?!)")
-    return F.aggregate(rules, F.struct(nothing.alias("ignored"), nothing.alias("kept")), step)
-
-
-def _whole(name: str) -> Column:
-    def anchored(part: str) -> Column:
-        return F.concat(F.lit("(?s)\\A"), F.col(name)[part], F.lit("\\z")).alias(part)
-    return F.struct(anchored("ignored"), anchored("kept")).alias(name)
+    order = Window.partitionBy("base").orderBy("seq")
+    turns = F.coalesce((F.col("negated") != F.lag("negated").over(order)).cast("int"), F.lit(0))
+    numbered = rules.withColumn("turn", turns).withColumn("run", F.sum("turn").over(order))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "rx"))),
+                                      lambda r: r["rx"]), "|")
+    return (numbered.groupBy("base", "run", "negated").agg(
+                F.concat(F.lit("(?s)\\A(?:"), joined, F.lit(")\\z")).alias("rx"))
+            .groupBy("base").agg(F.array_sort(F.collect_list(F.struct("run", "negated", "rx")))
+                                 .alias(name)))
 
 
 def compile_ignores(ignore_files: DataFrame) -> DataFrame:
@@ -149,16 +135,25 @@ def compile_ignores(ignore_files: DataFrame) -> DataFrame:
     ready = F.transform(parse_ignore("text"), lambda r: F.struct(
         F.concat(F.lit("(?:"), pattern_regex(r), F.lit(")")).alias("rx"),
         r["negated"].alias("negated"), r["dir_only"].alias("dir_only")))
-    folded = (ignore_files.select("base", ready.alias("rules")).filter(F.size("rules") > 0)
-              .select("base", _fold_rules(F.filter("rules", lambda r: ~r["dir_only"]))
-                      .alias("on_file"), _fold_rules(F.col("rules")).alias("on_dir")))
-    return folded.select("base", _whole("on_file"), _whole("on_dir"))
+    rules = ignore_files.select("base", F.posexplode(ready).alias("seq", "rule")).select(
+        "base", "seq", "rule.*")
+    none = F.array().cast("array<struct<run:bigint,negated:boolean,rx:string>>")
+    return (_runs(rules, "on_dir").join(_runs(rules.filter(~F.col("dir_only")), "on_file"),
+                                        "base", "left")
+            .select("base", F.coalesce("on_file", none).alias("on_file"), "on_dir"))
+
 
+def _said(value: Column, runs: Column) -> Column:
+    """What a file says of a path: true ignored, false kept, null not mentioned.
 
-def _matches(value: Column, regex: Column) -> Column:
-    # regexp_extract keeps its last compiled pattern between rows, rlike with
-    # a non-constant pattern compiles every time.  Values are never empty.
-    return F.call_function("regexp_extract", value, regex, F.lit(0)) != ""
+    The last run that matches decides.  regexp_extract keeps its last compiled
+    pattern between rows, rlike with a non-constant pattern compiles every
+    time.  Values are never empty.
+    """
+    def step(said: Column, run: Column) -> Column:
+        hit = F.call_function("regexp_extract", value, run["rx"], F.lit(0)) != ""
+        return F.when(hit, ~run["negated"]).otherwise(said)
+    return F.aggregate(runs, F.lit(None).cast("boolean"), step)
 
 
 def directory_chains(dirs: DataFrame, compiled: DataFrame) -> DataFrame:
@@ -173,7 +168,7 @@ def directory_chains(dirs: DataFrame, compiled: DataFrame) -> DataFrame:
     rel = P.relative("dir", F.col("base"))
     above = F.concat(P.relative_ancestors(rel), F.array(rel))
     closed = F.when(F.col("dir") == F.col("base"), F.lit(False)).otherwise(
-        F.exists(above, lambda p: F.rlike(p, F.col("on_dir.ignored"))))
+        F.exists(above, lambda p: F.coalesce(_said(p, F.col("on_dir")), F.lit(False))))
     link = F.struct(F.length("base").alias("depth"), F.col("base"),
                     closed.alias("closed"), F.col("on_file"), F.col("on_dir"))
     return pairs.groupBy("dir").agg(F.array_sort(F.collect_list(link)).alias("chain"))
@@ -187,10 +182,8 @@ def chain_verdict(path: Column, chain: Column, is_dir: Column | None = None) ->
             rules = link["on_file"]
         else:
             rules = F.when(is_dir, link["on_dir"]).otherwise(link["on_file"])
-        return (F.when(link["closed"], F.lit(True))
-                .when(_matches(rel, rules["ignored"]), F.lit(True))
-                .when(_matches(rel, rules["kept"]), F.lit(False))
-                .otherwise(verdict))
+        return F.when(link["closed"], F.lit(True)).otherwise(
+            F.coalesce(_said(rel, rules), verdict))
     return F.coalesce(F.aggregate(chain, F.lit(False), step), F.lit(False))
 
 
