@@ -151,7 +151,8 @@ def neighbours(all_edges: DataFrame, start: DataFrame, hops: int = 1
     seen, used = frontier, None
     reached = frontier.limit(0)
     for hop in range(hops):
-        step = all_edges.join(frontier.withColumnRenamed("node", "src"), "src", "left_semi")
+        # A hub's edges are split over tasks.
+        step = lookup(all_edges, frontier.withColumnRenamed("node", "src"), ["src"], "inner")
         if hop + 1 < hops and hops > 2:
             step = cut_lineage(step)
         used = step if used is None else used.unionByName(step)

@@ -56,7 +56,8 @@ def tree_fingerprints(files: DataFrame, only: DataFrame | None = None) -> DataFr
     spread = (files.filter(F.col("kind") == FILE)
               .select("path", "size", F.explode(P.ancestors("path")).alias("dir")))
     if only is not None:
-        spread = spread.join(only, "dir", "left_semi")
+        # The top folders are over every file, so their rows are split over tasks.
+        spread = lookup(spread, only.select("dir").distinct(), ["dir"], "inner")
     rel = P.relative("path", F.col("dir"))
     return _sealed(spread.groupBy("dir").agg(
         F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"),

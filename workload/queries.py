@@ -990,7 +990,10 @@ def _vector_lists(t: Inputs) -> DataFrame:
         t.table("benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(
         F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
     best = embed.search_many(t.vectors(), asked, fu.DEPTH)
-    paths = t.content().select("sha256", "path")
+    # Of a content with many copies, no more than the first of them can be in a list.
+    first = Window.partitionBy("sha256").orderBy("path")
+    paths = t.content().select("sha256", "path", F.row_number().over(first).alias("n")).filter(
+        F.col("n") <= fu.DEPTH).drop("n")
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "path")
     return (best.join(paths, "sha256").withColumn("position", F.row_number().over(order))
             .filter(F.col("position") <= fu.DEPTH).select("qid", "path", "position", "score"))
