@@ -10,6 +10,7 @@ sequence can be filled.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -54,8 +55,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end: int, doc_id: str = "d
     def work(columns: dict, task: Task) -> dict:
         known = task.known
         texts = texts_of(columns[text])
-        # The tokenizer drops white space, so words stand alone.
-        words = [t.replace("\n", " ").split(" ") for t in texts]
+        words = [lone_words(t) for t in texts]
         numbers = known.numbers([w for own in words for w in own])
         flat = known.flat(numbers)
         edges = np.concatenate([[0], np.cumsum(known.lengths[numbers])])
@@ -85,6 +85,22 @@ def pieces(docs: DataFrame, path: str, capacity: int, end: int, doc_id: str = "d
     return batches(docs.select(doc_id, text), work, schema, Task, text)
 
 
+#: A full stop or comma between a letter and white space is a piece of its own.
+_STOP = re.compile(r"(?<=[a-z])([.,])(?=[ \n])")
+_LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
+
+
+def lone_words(text: str) -> list[str]:
+    """Pieces of a text for a tokenizer that folds case and drops white space.
+
+    It cuts at white space and between letters and other marks anyway, and
+    special strings, whose case counts, hold "<|".
+    """
+    if "<|" not in text:
+        text = _STOP.sub(r" \1", text.encode().translate(_LOWER).decode())
+    return text.replace("\n", " ").split(" ")
+
+
 def pa_indices(rows: list[int]):
     import pyarrow as pa
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import os
 from itertools import islice, repeat
+from unicodedata import is_normalized
 
 import numpy as np
 
 #: Distinct pieces that a worker remembers at most, and those it keeps then: the first it
 #: met, among which the frequent ones are.
-REMEMBERED, KEPT = 600_000, 250_000
+REMEMBERED, KEPT = 800_000, 400_000
 #: Bytes of text in one call of the tokenizer.
 CALL_BYTES = 1 << 18
 
@@ -20,9 +21,11 @@ class PieceTokens:
     """Remembers length and ids of every piece it has met.
 
     Pieces must be cut where the tokenizer itself always cuts.  New pieces go
-    to the tokenizer in calls of about CALL_BYTES, with one of its own special
-    strings between them, so one call encodes thousands of pieces and its id
-    marks their ends.  A piece that holds such a string is encoded alone.
+    to the tokenizer in calls of about CALL_BYTES.  Plain words, behind a space
+    of their own for a byte-level vocabulary, are joined as they would stand
+    in a text, and the tokenizer tells which word a token belongs to.  Other
+    pieces have one of its own special strings between them, whose id marks
+    their ends; a piece that holds such a string is encoded alone.
     """
 
     def __init__(self, path: str, keep_ids: bool):
@@ -33,6 +36,8 @@ class PieceTokens:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.keep_ids = keep_ids
+        # A vocabulary that drops white space has a normalizer for it; the other kind keeps it.
+        self.joint = " " if self.tokenizer.normalizer is not None else ""
         added = self.tokenizer.get_added_tokens_decoder()
         self.specials = [t.content for t in added.values()]
         between = [(i, t.content) for i, t in added.items()
@@ -78,22 +83,42 @@ class PieceTokens:
     def _learn(self, pieces: list[str]) -> None:
         alone = [p for p in pieces if self.mark is None or any(s in p for s in self.specials)]
         odd = set(alone)
-        group: list[str] = []
-        size = 0
+        others = []
+        words = []
         for piece in pieces:
-            if piece in odd:
-                continue
-            group.append(piece)
-            size += len(piece)
-            if size >= CALL_BYTES:
-                self._encode(group)
-                group, size = [], 0
-        if group:
-            self._encode(group)
+            if piece not in odd:
+                (words if self._is_word(piece) else others).append(piece)
+        for own, encode in ((words, self._encode_words), (others, self._encode)):
+            group: list[str] = []
+            size = 0
+            for piece in own:
+                group.append(piece)
+                size += len(piece)
+                if size >= CALL_BYTES:
+                    encode(group)
+                    group, size = [], 0
+            if group:
+                encode(group)
         for piece in alone:
             ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, np.uint32)
             self._store([piece], ids, np.array([len(ids)]))
 
+    def _is_word(self, piece: str) -> bool:
+        """Letters alone, before and after normalisation: one word to the tokenizer."""
+        if self.joint:
+            return piece.isalpha() and (piece.isascii() or (
+                piece.lower().isalpha() and is_normalized("NFC", piece)))
+        return piece[:1] == " " and piece[1:].isalpha()
+
+    def _encode_words(self, group: list[str]) -> None:
+        made = self.tokenizer.encode(self.joint.join(group), add_special_tokens=False)
+        of = np.array(made.word_ids, np.int64)
+        lengths = np.bincount(of, minlength=len(group))
+        if len(lengths) != len(group) or (lengths == 0).any() or (np.diff(of) < 0).any():
+            self._encode(group)
+        else:
+            self._store(group, np.array(made.ids, np.uint32), lengths)
+
     def _encode(self, group: list[str]) -> None:
         number, mark = self.mark
         ids = np.array(self.tokenizer.encode(mark.join(group), add_special_tokens=False).ids,
