@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from treegauge.session import cut_lineage
 
 #: Bytes of text that a Python worker handles at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,10 +56,19 @@ def batches(df: DataFrame, work: Callable[[dict], dict], schema: str,
                      for v, f in zip(made.values(), out, strict=True)], schema=out)
         for own in more:
             getattr(own, "rest", lambda: None)()
+        hand_back()
 
     return df.mapInArrow(run, schema)
 
 
+def hand_back() -> None:
+    """At the end of a task: freed memory goes back, for the worker stays and others need it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(part: pa.RecordBatch, text: str | None) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about SLICE_BYTES of `text`; a longer row is a piece of its own."""
     if text is None or part.num_rows == 0:

@@ -10,7 +10,7 @@ import numpy as np
 
 #: Distinct pieces that a worker remembers at most, and those it keeps then: the first it
 #: met, among which the frequent ones are.
-REMEMBERED, KEPT = 800_000, 400_000
+REMEMBERED, KEPT = 600_000, 300_000
 #: Bytes of text in one call of the tokenizer.
 CALL_BYTES = 1 << 18
 
