@@ -29,13 +29,13 @@ _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 _BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
 
 
-def fingerprint(text: bytes, width: int) -> int:
-    """The SimHash of one text; bit 1 where over half of the shingle hashes have it."""
+def shingles(text: bytes, width: int) -> np.ndarray:
+    """Hashes of all runs of `width` words, or of a shorter text's words together."""
     from xxhash import xxh64_intdigest
 
     words = text.translate(_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
@@ -43,10 +43,14 @@ def fingerprint(text: bytes, width: int) -> int:
         starts, ends = starts[:1], ends[-1:]
     else:
         starts, ends = starts[:len(words) - width + 1], ends[width - 1:]
-    n = len(starts)
-    hashes = np.fromiter((xxh64_intdigest(joined[a:b], 42)
-                          for a, b in zip(starts.tolist(), ends.tolist(), strict=True)),
-                         np.uint64, n)
+    return np.fromiter((xxh64_intdigest(joined[a:b], 42)
+                        for a, b in zip(starts.tolist(), ends.tolist(), strict=True)),
+                       np.uint64, len(starts))
+
+
+def sketch(hashes: np.ndarray) -> int:
+    """Bit 1 where over half of the hashes have it, as a signed long; 0 without hashes."""
+    n = len(hashes)
     counts = np.zeros((8, 256), np.int64)
     for block in range(0, n, 1 << 18):
         lanes = hashes[block:block + (1 << 18)].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -56,6 +60,11 @@ def fingerprint(text: bytes, width: int) -> int:
     return int(np.packbits(bits, bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: bytes, width: int) -> int:
+    """The SimHash of one text; bit 1 where over half of the shingle hashes have it."""
+    return sketch(shingles(text, width))
+
+
 def fingerprints(docs: DataFrame, width: int, doc_id: str = "doc_id",
                  text: str = "text") -> DataFrame:
     """(doc_id, fp): the fingerprint of each whole text as a signed long.
@@ -187,7 +196,10 @@ def keep_one(docs: DataFrame, width: int, distance: int) -> DataFrame:
     A row without doc_id cannot be named as a copy and stays.  Rows that
     repeat a kept doc_id stay once.
     """
-    found = settle(near_duplicates(docs, width, distance))
+    return _least_of(docs, settle(near_duplicates(docs, width, distance)))
+
+
+def _least_of(docs: DataFrame, found: DataFrame) -> DataFrame:
     kept = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("_times"))
     stay = docs.join(kept, "doc_id").select(*docs.columns, "_times")
