@@ -90,3 +90,19 @@ def test_stages_keep_columns_and_clean_documents(spark, tmp_path):
 
 def test_every_operator_has_its_query():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+
+
+def test_long_items_are_found_by_their_parts():
+    space = np.random.default_rng(4).normal(size=(dc.BUCKETS, dc.LATENT)).astype(np.float32)
+    rows, hosts, want = [], [], []
+    for n in (150, 500, 700, 1000):
+        item = ["item%dword%d" % (n, i) for i in range(n)]
+        rows.append((n, " ".join(item)))
+        changed = [w if i % 4 else "unseen%d" % i for i, w in enumerate(item)]
+        for own in (item, changed):
+            want.append((len(hosts), n))
+            hosts.append(" ".join([text(n, 90), *own, text(n + 1, 90)]).encode())
+    # A part of a long item is not the item.
+    hosts.append(" ".join([text(1, 90), *rows[3][1].split()[200:400], text(2, 90)]).encode())
+    items = dc.items_of(rows, np.ones(dc.BUCKETS))
+    assert sorted(h[:2] for h in dc.Searcher(items, space).hits(hosts)) == want
