@@ -106,3 +106,21 @@ def test_long_items_are_found_by_their_parts():
     hosts.append(" ".join([text(1, 90), *rows[3][1].split()[200:400], text(2, 90)]).encode())
     items = dc.items_of(rows, np.ones(dc.BUCKETS))
     assert sorted(h[:2] for h in dc.Searcher(items, space).hits(hosts)) == want
+
+
+def test_rare_foreign_words_do_not_hide_an_item():
+    rows = [(i, " ".join("item%dword%d" % (i, k) for k in range(40))) for i in range(20)]
+    counts = np.zeros(dc.BUCKETS + 1, np.int64)
+    counts[dc.BUCKETS] = 10 ** 7
+    for _, item in rows:
+        counts[dc.buckets_of(dc.hashed([item.encode()])[0])] = 20_000
+    hosts = [" ".join([text(i, 60), *[w if k % 4 else "unseen%d" % (i * k) for k, w in enumerate(item.split())],
+                       text(i + 50, 60)]).encode() for i, item in rows]
+    items = dc.items_of(rows, dc.weights_of(counts))
+    directions = np.random.default_rng(4).normal(size=(dc.BUCKETS, dc.LATENT))
+
+    def found(weights):
+        space = (directions * weights[:, None]).astype(np.float32)
+        return [h[:2] for h in dc.Searcher(items, space).hits(hosts)]
+    assert sorted(found(dc.search_weights_of(counts))) == [(i, i) for i in range(20)]
+    assert len(found(dc.weights_of(counts))) < 10
