@@ -5,6 +5,8 @@ from __future__ import annotations
 from . import sql
 from .decontaminate import op1_decontaminate
 from .html_text import op7_html_text
+from .language_id import op11_language_id
+from .lexical import op13_lexical
 from .ordinal import op5_ordinal
 from .packing import op9_packing
 from .quality_rules import op3_quality_rules
@@ -25,9 +27,12 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
+    "op11_language_id": op11_language_id,
+    "op13_lexical": op13_lexical,
 }
 
 ORACLES: dict[str, str] = {
     "op3_quality_rules": sql.QUALITY_RULES,
     "op8_warc": sql.WARC,
+    "op13_lexical": sql.LEXICAL,
 }
