@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import sql
+from .alignment import op12_alignment
 from .decontaminate import op1_decontaminate
 from .html_text import op7_html_text
 from .language_id import op11_language_id
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
     "op11_language_id": op11_language_id,
+    "op12_alignment": op12_alignment,
     "op13_lexical": op13_lexical,
 }
 
