@@ -23,6 +23,8 @@ from .components import components
 SEGMENTS = 32
 #: A cell with more fingerprints is linked through shared points instead of pairs.
 CROWD = 64
+#: Narrow keys that are broadcast at most.
+FEW = 1_000_000
 
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 #: Bits of every byte value, least first.
@@ -199,13 +201,28 @@ def keep_one(docs: DataFrame, width: int, distance: int) -> DataFrame:
     return _least_of(docs, settle(near_duplicates(docs, width, distance)))
 
 
+def narrowed(rows: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
+    """`rows` semi or anti joined with settled `keys`: broadcast up to FEW of them, else shuffled.
+
+    The keys are few columns; where they may be broadcast, wide rows stay where they are.
+    """
+    return rows.join(F.broadcast(keys) if keys.count() <= FEW else keys, on, how)
+
+
 def _least_of(docs: DataFrame, found: DataFrame) -> DataFrame:
-    kept = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("_times"))
-    stay = docs.join(kept, "doc_id").select(*docs.columns, "_times")
-    once = stay.where("_times = 1").drop("_times")
-    again = stay.where("_times > 1").drop("_times").dropDuplicates(["doc_id"])
-    return once.unionByName(again).unionByName(docs.where(F.col("doc_id").isNull()))
+    """Whole rows go only by their doc_id: what is decided, counted and joined is narrow."""
+    own = found.where(F.col("doc_id").isNotNull())
+    ids = own.groupBy("doc_id").agg(
+        F.max(F.col("doc_id") == F.col("component_id")).alias("kept"), F.count(F.lit(1)).alias("times"))
+    ids = settle(ids.where("not kept or times > 1"))
+    columns = [F.col("`%s`" % c.replace("`", "``")) for c in docs.columns]
+    stay = narrowed(docs, ids.where("not kept").select("doc_id"), ["doc_id"], "left_anti")
+    again = ids.where("kept").select("doc_id")
+    if again.isEmpty():
+        return stay.select(*columns)
+    once = narrowed(stay, again, ["doc_id"], "left_anti").select(*columns)
+    return once.unionByName(narrowed(stay, again, ["doc_id"], "left_semi").dropDuplicates(["doc_id"])
+                            .select(*columns))
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
