@@ -13,6 +13,8 @@ from treegauge.session import cut_lineage
 
 #: Bytes of text that a Python worker handles at once.
 SLICE_BYTES = 1 << 20
+#: Bytes of rows that go to a Python worker at once, unless the session says otherwise.
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,9 +60,16 @@ def batches(df: DataFrame, work: Callable[[dict], dict], schema: str,
             getattr(own, "rest", lambda: None)()
         hand_back()
 
+    _bound(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
+def _bound(spark: SparkSession) -> None:
+    """Batches of whole texts by bytes: ten thousand rows of them would lie in memory twice."""
+    if int(spark.conf.get(_BATCH, "0") or 0) in (-1, 0, (1 << 31) - 1, (1 << 63) - 1):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def hand_back() -> None:
     """At the end of a task: freed memory goes back, for the worker stays and others need it."""
     pa.default_memory_pool().release_unused()
