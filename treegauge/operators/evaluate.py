@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .. import Refused
 from ..functions import text as X
+from ..session import cut_lineage
 from .fusion import CUT
 
 LAYERS = ("lexical", "vector", "fusion")
@@ -38,6 +40,64 @@ def recall_tally(rows: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total"))
 
 
+#: Words of a shingle that questions and documents meet on.
+SHINGLE = 5
+
+
+def _shingles(words: Column) -> Column:
+    """Distinct hashes of all runs of SHINGLE words: as many lists side by side, each moved by one."""
+    moved = [F.slice(words, F.lit(k + 1), F.greatest(F.size(words) - (SHINGLE - 1), F.lit(0)))
+             for k in range(SHINGLE)]
+    return F.array_distinct(F.transform(F.arrays_zip(*moved), lambda run: F.xxhash64(run)))
+
+
+def holders(questions: DataFrame, docs: DataFrame) -> DataFrame:
+    """`qid, target`: documents whose text holds a question `query` whole, letter for letter.
+
+    Word shingles meet first; a document with as many of a question's shingles
+    as there are is then tested for the text itself.  The first and last word
+    are left out of the shingles, for a document may continue them.  Questions
+    with too few words for a shingle meet on the inner words that they have,
+    in a pass of their own for each number of words, and only those without an
+    inner word are tested against every text.
+    """
+    asked = questions.select("qid", "query", F.split("query", r"\s+", -1).alias("words"))
+    inner = F.slice("words", 2, F.greatest(F.size("words") - 2, F.lit(0)))
+    asked = cut_lineage(asked.select("qid", "query", inner.alias("inner")))
+    wanted = asked.select("qid", _shingles(F.col("inner")).alias("all")).select(
+        "qid", F.size("all").alias("n"), F.explode("all").alias("h"))
+    words = docs.select("path", F.split("text", r"\s+", -1).alias("words"))
+    met = words.select("path", F.explode(_shingles(F.col("words"))).alias("h")).join(wanted, "h").groupBy(
+        "qid", "path", "n").agg(F.count(F.lit(1)).alias("m")).filter("m = n").select("qid", "path")
+    short = asked.select("qid", F.size("inner").alias("n"), F.xxhash64("inner").alias("h")).filter(
+        F.col("n") < SHINGLE)
+    for row in short.select("n").distinct().filter("n > 0").collect():
+        n = row["n"]
+        moved = [F.slice("words", F.lit(k + 1), F.greatest(F.size("words") - (n - 1), F.lit(0))) for k in range(n)]
+        runs = F.array_distinct(F.transform(F.arrays_zip(*moved), lambda run: F.xxhash64(
+            F.array(*[run[str(k)] for k in range(n)]))))
+        met = met.unionByName(words.select("path", F.explode(runs).alias("h")).join(
+            short.filter(F.col("n") == n).select("qid", "h"), "h").select("qid", "path"))
+    found = met.join(asked.select("qid", "query"), "qid").join(docs.select("path", "text"), "path").filter(
+        F.contains("text", "query")).select("qid", F.col("path").alias("target"))
+    bare = asked.join(short.filter("n = 0").select("qid"), "qid", "left_semi").select("qid", "query")
+    if bare.isEmpty():
+        return found
+    return found.unionByName(docs.join(bare, F.contains("text", "query")).select(
+        "qid", F.col("path").alias("target")))
+
+
+def scored(pairs: DataFrame, gold: DataFrame, corpus: DataFrame, lexical: DataFrame,
+           ranked: DataFrame) -> DataFrame:
+    """`recall_tally` of a question set that can be scored; a broken one is refused with its reasons."""
+    wrong = problems(pairs, gold, corpus, lexical).groupBy("problem").agg(
+        F.count(F.lit(1)).alias("n"), F.min("qid").alias("qid")).orderBy("problem").collect()
+    if wrong:
+        raise Refused("the question set cannot be scored: " + "; ".join(
+            "%s (%d, first %s)" % (r["problem"], r["n"], r["qid"]) for r in wrong))
+    return recall_tally(recall_rows(gold.join(pairs.select("qid", "class"), "qid"), ranked))
+
+
 def problems(pairs: DataFrame, gold: DataFrame, corpus: DataFrame,
              lexical: DataFrame) -> DataFrame:
     """Every reason a question set cannot be scored: `qid, problem`.

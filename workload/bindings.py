@@ -8,9 +8,12 @@ absent because another table says so.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from treegauge.functions.content import sha256_hex
+from treegauge.operators.blockindex import Index, write as write_index
 from treegauge.operators.content import classify
 from treegauge.operators.scope import rule_mode
 
@@ -239,6 +242,10 @@ def with_ctes(*names: str) -> str:
     return "WITH " + ",\n".join(CTE[n] for n in names) + "\n"
 
 
+#: Where each session has written the index of a folder's documents.
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
 class Inputs:
     """The same bindings as DataFrames."""
 
@@ -382,6 +389,17 @@ class Inputs:
             "text", F.lit(" "), "source", F.lit("Lang"), F.upper("lang"), F.lit("Size"),
             F.col("n_chars").cast("string"), F.lit(" "), mark).alias("text"))
 
+    def index(self) -> Index:
+        """The stored index of `coded`, written once per session and folder."""
+        context = self.spark.sparkContext
+        key = (context.applicationId, self.folder)
+        if key not in _INDEXES:
+            shared = context.getCheckpointDir() or self.spark.conf.get("spark.checkpoint.dir")
+            folder = "%s/index-%s" % (shared.rstrip("/"), uuid.uuid4().hex)
+            write_index(self.coded(), folder)
+            _INDEXES[key] = folder
+        return Index(self.spark, _INDEXES[key])
+
     def treefiles(self) -> DataFrame:
         return (self.table("lineitem").groupBy("l_orderkey", "l_linenumber")
                 .agg(F.sum(F.col("l_quantity").cast("bigint")).alias("size"))

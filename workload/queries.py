@@ -11,6 +11,7 @@ from treegauge.operators import (catalogue as cat, content as con, embed, equiva
                                  evaluate as ev, freshness as fr, fusion as fu, graph as gr,
                                  identity as idn, journal as jo, scope as sc, search as se,
                                  snapshots as sn, tree as tr)
+from treegauge.session import cut_lineage
 from treegauge.streaming import events as evt, service as svc
 
 from .bindings import SCOPE, Inputs, with_ctes
@@ -461,7 +462,7 @@ def _rounded(hits: DataFrame) -> DataFrame:
 
 @query("lexical_search", _bm25_sql(["thon", "ther", "erble"]))
 def _(t):
-    return _rounded(se.search(t.coded(), "thon THER erblé"))
+    return _rounded(t.index().search("thon THER erblé"))
 
 
 @query("lexical_where", _bm25_sql(["plain", "thon"]))
@@ -471,8 +472,7 @@ def _(t):
 
 @query("lexical_index", _bm25_sql(["thon", "lang", "ble"]))
 def _(t):
-    coded = t.coded()
-    return _rounded(se.search_index(se.postings(coded), se.lengths(coded), "thon lang ble"))
+    return _rounded(t.index().search("thon lang ble"))
 
 
 @query("phrase_search", with_ctes("docfiles", "coded", "symbols") + """,
@@ -487,7 +487,7 @@ ORDER BY -CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6
    ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)), path
 LIMIT 20""")
 def _(t):
-    return _rounded(se.search(t.coded(), "of-the"))
+    return _rounded(t.index().search("of-the"))
 
 
 @query("postings_stats", with_ctes("docfiles", "coded", "symbols") + """
@@ -578,7 +578,7 @@ SELECT path, round(sum(1.0::DOUBLE / (60 + position)), 9) AS score, CAST(min(pos
   CASE WHEN count(*) > 1 THEN 'both' ELSE min(list) END AS route FROM both_lists GROUP BY path
 ORDER BY sum(1.0::DOUBLE / (60 + position)) DESC, min(position), path LIMIT 10""")
 def _(t):
-    lexical = se.search(t.coded(), "thon", fu.DEPTH).select(
+    lexical = t.index().search("thon", fu.DEPTH).select(
         F.lit("lexical").alias("list"), "path", F.col("rank").alias("order"))
     semantic = embed.search(t.vectors(), t.content(), _query_vector(t), fu.DEPTH).select(
         F.lit("vector").alias("list"), "path", (-F.col("score")).alias("order"))
@@ -919,38 +919,12 @@ def _(t):
     return eq.summary(eq.differences({"files": old}, {"files": new}, eq.CATALOGUE_AXES))
 
 
-#: Words of a shingle that passages and documents meet on.
-_SHINGLE = 5
-
-
 def _gold(t: Inputs) -> tuple[DataFrame, DataFrame]:
-    """Questions are benchmark passages; targets are documents that hold the whole passage.
-
-    Hashed word shingles meet; a document with as many of a passage's shingles
-    as there are is then tested for the text itself.  The first and last word
-    are left out of the shingles, for a document may continue them.
-    """
-    def shingles(words: Column) -> Column:
-        return F.array_distinct(F.when(F.size(words) >= _SHINGLE, F.transform(
-            F.sequence(F.lit(1), F.size(words) - _SHINGLE + 1),
-            lambda i: F.xxhash64(F.slice(words, i, _SHINGLE)))).otherwise(
-            F.array().cast("array<bigint>")))
-
-    asked = t.table("benchmark")
+    """Questions are benchmark passages; targets are documents that hold the whole passage."""
     kind = (F.when(F.length("text") < 160, "A").when(F.length("text") < 260, "B").otherwise("C"))
-    pairs = asked.select(F.col("item_id").alias("qid"), kind.alias("class"),
-                         F.col("text").alias("query"))
-    words = F.split("text", r"\s+", -1)
-    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    wanted = asked.select(F.col("item_id").alias("qid"), shingles(inner).alias("all")).select(
-        "qid", F.size("all").alias("n"), F.explode("all").alias("h"))
-    docs = t.docfiles().select("path", "text")
-    met = docs.select("path", F.explode(shingles(words)).alias("h")).join(wanted, "h").groupBy(
-        "qid", "path", "n").agg(F.count(F.lit(1)).alias("m")).filter("m = n")
-    gold = (met.join(docs, "path").join(pairs.select("qid", "query"), "qid")
-            .filter(F.contains("text", "query"))
-            .select("qid", F.col("path").alias("target")))
-    return pairs, gold
+    pairs = t.table("benchmark").select(F.col("item_id").alias("qid"), kind.alias("class"),
+                                        F.col("text").alias("query"))
+    return pairs, ev.holders(pairs, t.docfiles().select("path", "text"))
 
 
 _GOLD_SQL = """, gold AS (SELECT b.item_id AS qid, path AS target FROM benchmark b JOIN docfiles d ON contains(d.text, b.text)),
@@ -1032,6 +1006,7 @@ def _(t):
     lists = se.search_many(_plain(t), pairs, fu.DEPTH).select(
         F.lit("lexical").alias("list"), "qid", "path", "position").unionByName(
         _vector_lists(t).select(F.lit("vector").alias("list"), "qid", "path", "position"))
+    lists = cut_lineage(lists)  # read by the fusion and beside it
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "best", "path")
     fused = fu.fuse(lists, ["qid"]).withColumn("position", F.row_number().over(order))
     ranked = lists.withColumnRenamed("list", "layer").unionByName(
