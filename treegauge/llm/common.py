@@ -66,7 +66,7 @@ def batches(df: DataFrame, work: Callable[[dict], dict], schema: str,
 
 def _bound(spark: SparkSession) -> None:
     """Batches of whole texts by bytes: ten thousand rows of them would lie in memory twice."""
-    if int(spark.conf.get(_BATCH, "0") or 0) in (-1, 0, (1 << 31) - 1, (1 << 63) - 1):
+    if spark.conf.get(_BATCH, None) is None:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
