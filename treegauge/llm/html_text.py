@@ -66,9 +66,13 @@ _SAME = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("d
          "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")),
          "th": ("td th", ("tr", "table")), "option": ("option", ("select", "datalist"))}
 
+_APART = r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
+#: A tag ends behind its quoted values; where a quote is never closed, at the next end of a tag.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+    _APART + r"|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>"
+    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+#: Behind the last end of a tag there are no tags any more.
+_TAIL = re.compile(_APART, re.S)
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _TRUTH = re.compile(r"data-truth=\"(\d)\"")
@@ -87,30 +91,38 @@ class Page:
         self._read(html)
 
     def _read(self, html: str) -> None:
-        stack, block, at = [0], 0, 0
-        scan, end = _TOKEN.search, len(html)
+        self.stack: list[int] = []
+        #: Where in the stack elements of a name are, and those that are neither inline nor a paragraph.
+        self.places: dict[str, list[int]] = {}
+        self.solid: list[int] = []
+        self._push(0)
+        block, at = 0, 0
+        end, last = len(html), html.rfind(">")
         while at < end:
-            m = scan(html, at)
+            m = (_TOKEN if at <= last else _TAIL).search(html, at)
             stop = m.start() if m else end
             if stop > at:
-                self.texts.append((stack[-1], block, unescape(html[at:stop])))
+                self.texts.append((self.stack[-1], block, unescape(html[at:stop])))
             if m is None:
                 break
             at = m.end()
-            name = m.group(2)
+            closing, name, attributes = m.groups()[:3] if m.re is _TOKEN else (None, None, None)
+            if name is None and m.re is _TOKEN:
+                closing, name, attributes = m.groups()[3:]
             if name is None:
                 if m.group().startswith("<![CDATA["):
-                    self.texts.append((stack[-1], block, m.group()[9:].removesuffix("]]>")))
+                    self.texts.append((self.stack[-1], block, m.group()[9:].removesuffix("]]>")))
                 continue
             name = name.lower()
             if name not in _INLINE:
                 block += 1
-            if m.group(1):
-                self._close(stack, name)
+            if closing:
+                if self.places.get(name):
+                    self._pop(self.places[name][-1])
                 continue
-            self._imply(stack, name)
-            node = self._open(stack[-1], name, m.group(3))
-            if name in _VOID or m.group(3).endswith("/"):
+            self._imply(name)
+            node = self._open(self.stack[-1], name, attributes)
+            if name in _VOID or attributes.endswith("/"):
                 self.ends[node] = len(self.tags)
             elif name in _RAW:
                 close = _RAW[name].search(html, at)
@@ -121,9 +133,28 @@ class Page:
                 self.ends[node] = len(self.tags)
                 block += 1
             else:
-                stack.append(node)
-        for node in stack:
+                self._push(node)
+        self._pop(0)
+
+    def _push(self, node: int) -> None:
+        place, name = len(self.stack), self.tags[node]
+        self.stack.append(node)
+        self.places.setdefault(name, []).append(place)
+        if name not in _INLINE and name != "p":
+            self.solid.append(place)
+
+    def _pop(self, to: int) -> None:
+        """Ends all elements from a place of the stack on; each is ended once."""
+        while len(self.stack) > to:
+            node = self.stack.pop()
             self.ends[node] = len(self.tags)
+            self.places[self.tags[node]].pop()
+            if self.solid and self.solid[-1] == len(self.stack):
+                self.solid.pop()
+
+    def _last(self, names: tuple[str, ...] | list[str]) -> int:
+        """The innermost open element of these names, -1 without one."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
 
     def _open(self, parent: int, name: str, attributes: str) -> int:
         node = len(self.tags)
@@ -145,37 +176,20 @@ class Page:
         self.truths.append(truth)
         return node
 
-    def _pop(self, stack: list[int], to: int) -> None:
-        for node in stack[to:]:
-            self.ends[node] = len(self.tags)
-        del stack[to:]
-
-    def _close(self, stack: list[int], name: str) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if self.tags[stack[i]] == name:
-                self._pop(stack, i)
-                return
-
-    def _imply(self, stack: list[int], name: str) -> None:
+    def _imply(self, name: str) -> None:
+        """Ends the elements whose end may be left out before this one begins."""
         if name in _P_ENDS:
-            for i in range(len(stack) - 1, 0, -1):
-                tag = self.tags[stack[i]]
-                if tag == "p":
-                    self._pop(stack, i)
-                    break
-                if tag not in _INLINE:
-                    break
+            # A paragraph with nothing but inline elements open inside it.
+            inner = self._last(["p"])
+            if inner > (self.solid[-1] if self.solid else -1):
+                self._pop(inner)
         elif name in _SAME:
             ended, borders = _SAME[name]
             ended = ended.split()
-            for i in range(len(stack) - 1, 0, -1):
-                tag = self.tags[stack[i]]
-                if tag in borders:
+            while (inner := self._last(ended)) > self._last(borders):
+                self._pop(inner)
+                if name != "tr":
                     break
-                if tag in ended:
-                    self._pop(stack, i)
-                    if name != "tr":
-                        break
 
 
 def features(pages: list[Page]) -> np.ndarray:
