@@ -228,14 +228,22 @@ def reassembled(read: DataFrame) -> DataFrame:
                    "payload binary, payload_bytes bigint, complete boolean")
 
 
+def results(found: DataFrame) -> DataFrame:
+    """What `reassembled` says of every page; a record that is not whole has no size and no digest.
+
+    The digest is that of the payload read back; a revisit, which has none, names its own.
+    """
+    page = lambda c: F.regexp_extract(c, r"urn:page:([^#>]*)", 1).try_cast("long")
+    named = F.regexp_extract("digest", r"sha1:(\w+)", 1)
+    return found.select(
+        page("id").alias("page_id"), F.when(F.col("complete"), F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(F.col("complete"), F.when(F.col("type") == "revisit", named).otherwise(F.sha1("payload"))).alias(
+            "payload_digest"),
+        F.col("type").alias("record_type"), page("refers").alias("refers_to"))
+
+
 def op8_warc(spark, sf_dir: str) -> DataFrame:
     """Every page through an archive and back: payload length, digest, type, what it refers to."""
     folder = folder_for(spark, "warc")
     write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
-    page = lambda c: F.regexp_extract(c, r"urn:page:([^#>]*)", 1).try_cast("long")
-    # The digest is that of the payload read back where there is one; a revisit names it.
-    return reassembled(read_records(spark, folder)).select(
-        page("id").alias("page_id"), "payload_bytes",
-        F.coalesce(F.sha1("payload"), F.regexp_extract("digest", r"sha1:(\w+)", 1)).alias(
-            "payload_digest"),
-        F.col("type").alias("record_type"), page("refers").alias("refers_to"))
+    return results(reassembled(read_records(spark, folder)))
