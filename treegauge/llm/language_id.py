@@ -21,6 +21,8 @@ from .common import batches, table, texts_of
 FIT_BYTES, OWN_BYTES = 1 << 17, 1 << 15
 #: Characters taken of one labelled text, so that many texts have a part in a language.
 PIECE = 256
+#: Languages that are learnt at most, the most frequent ones.
+LANGUAGES = FIT_BYTES // PIECE
 #: A text is parsed in sections of about so many bytes, cut at spaces, all at the same time.
 SECTION = 1024
 #: Scores: phrases follow on each other, so their bits count for less than independent ones.
@@ -177,23 +179,25 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """Labelled text of each language: pieces of PIECE characters of the texts of least hash.
 
     All languages together keep FIT_BYTES, each the same and OWN_BYTES at
-    most, whatever the number of rows.  Copies of a text count once.  The
+    most, whatever the number of rows; of more than LANGUAGES the rarest are not learnt.  Copies of a text count once.  The
     piece of a text begins where its hash says, so that openings all alike do
     not stand for a language.  Null texts and languages teach nothing; without
     a labelled text the model knows no language.
     """
+    begin = F.pmod(F.xxhash64(text), F.greatest(F.lit(1), F.length(text) - PIECE)) + 1
     known = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()
                        & (F.length(text) > 0)).select(
-        F.col(lang).cast("string").alias("lang"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    sizes = known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
-    number = max(1, sizes.count())
-    share = min(OWN_BYTES, FIT_BYTES // number)
+        F.col(lang).cast("string").alias("lang"), F.xxhash64(text).alias("h"),
+        F.substring(F.col(text), begin.cast("int"), F.lit(PIECE)).alias("piece"))
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(
+        F.desc("n"), "lang").limit(LANGUAGES).collect()
+    share = min(OWN_BYTES, FIT_BYTES // max(1, len(sizes)))
     wanted = max(1, share // PIECE)
     # Twice what is wanted lies under the bound on average, so that hardly a language has less.
     rank = F.shiftrightunsigned("h", 1) / F.lit(float(1 << 63))
-    begin = F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("text") - PIECE)) + 1
-    near = known.join(sizes, "lang").where(rank * F.col("n") <= 2.0 * wanted + 8).select(
-        "lang", "h", F.substring(F.col("text"), begin.cast("int"), F.lit(PIECE)).alias("piece"))
+    bounds = F.broadcast(docs.sparkSession.createDataFrame(
+        [(r["lang"], (2.0 * wanted + 8) / r["n"]) for r in sizes], "lang string, bound double"))
+    near = known.join(bounds, "lang").where(rank <= F.col("bound")).select("lang", "h", "piece")
     order = Window.partitionBy("lang").orderBy("h", "piece")
     rows = near.dropDuplicates(["lang", "h"]).withColumn("k", F.row_number().over(order)).where(
         F.col("k") <= wanted).orderBy("lang", "k").select("lang", "piece").collect()
