@@ -53,6 +53,13 @@ def test_keep_order_and_guards(spark):
     df = spark.createDataFrame(list(cases.items()), "path string, want boolean").withColumn(
         "got", evt.keep("path", stores, ~F.contains("path", F.lit("/out/"))))
     assert [r["path"] for r in df.collect() if r["got"] != r["want"]] == []
+    # The table form gives the same, whatever its length, and repeated stores do not repeat events.
+    table = spark.createDataFrame(
+        [(s,) for s in stores * 2] + [("/v/%d/index.db" % i,) for i in range(500)], "path string")
+    kept = evt.with_kept(df, table, ~F.contains("path", F.lit("/out/")))
+    assert {r["path"]: r["kept"] for r in kept.collect()} == cases and kept.count() == len(cases)
+    none = evt.with_kept(df, table.limit(0), F.lit(True))
+    assert none.filter("kept").count() == len(cases)
 
 
 def test_the_innermost_project_owns_an_event(spark):

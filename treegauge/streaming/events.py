@@ -83,6 +83,26 @@ def keep(path, stores: list[str], in_scope: Column) -> Column:
             .otherwise(F.coalesce(in_scope, F.lit(False))))
 
 
+def with_kept(events: DataFrame, stores: DataFrame, in_scope: Column) -> DataFrame:
+    """`events` plus boolean `kept`: the rule of `keep` for a table of stores (path) of any length.
+
+    A store's own files, their siblings and its folder all lie in or are that
+    folder, so the guard is an equality join on the folders above an event,
+    fanned out once per distinct directory.  A store lies below the root.
+    """
+    folders = stores.select(P.dirname("path").alias("folder")).distinct()
+    dirs = events.select(P.dirname("path").alias("dir")).distinct()
+    guarded = (dirs.select("dir", F.explode(P.self_and_ancestors("dir")).alias("folder"))
+               .join(folders, "folder").select("dir", F.lit(True).alias("in_store")).distinct())
+    own = folders.select(F.col("folder").alias("path"), F.lit(True).alias("is_store"))
+    return (lookup(events.withColumn("dir", P.dirname("path")).withColumn("wanted", in_scope), guarded, ["dir"])
+            .join(own, "path", "left")
+            .select(*events.columns,
+                    F.when(F.coalesce("in_store", "is_store", F.lit(False)), F.lit(False))
+                    .when(is_layout("path"), F.lit(True))
+                    .otherwise(F.coalesce("wanted", F.lit(False))).alias("kept")))
+
+
 def owner(path, roots: dict[str, str]) -> Column:
     """Project of the longest root over `path` (roots: path -> project).
 

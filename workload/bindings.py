@@ -221,6 +221,8 @@ prints AS (
     WHEN event_type = 'click' AND value < 5 THEN '/home/u' || user_id || '/store/index.db-wal'
     ELSE '/home/u' || user_id || '/' || event_type || '/' || event_id || '.log' END AS path,
     user_id FROM events),
+stores AS (
+  SELECT DISTINCT '/home/u' || user_id || '/store' AS folder FROM events),
 projects AS (
   SELECT DISTINCT 'u' || user_id AS project_id, '/home/u' || user_id AS path FROM events
   UNION ALL SELECT DISTINCT 'e' || user_id, '/home/u' || user_id || '/error' FROM events
@@ -420,6 +422,10 @@ class Inputs:
             "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value",
             path.alias("path"), "user_id")
 
+    def stores(self) -> DataFrame:
+        return self.table("events").select(F.concat(
+            F.lit("/home/u"), F.col("user_id").cast("string"), F.lit("/store/index.db")).alias("path")).distinct()
+
     def projects(self) -> DataFrame:
         e = self.table("events")
         user = F.col("user_id").cast("string")

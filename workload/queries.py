@@ -1080,25 +1080,23 @@ def _(t):
     return evt.attribute(t.watched().select("event_id", "path"), t.projects())
 
 
-_STORES = ["/home/u%d/store/index.db" % n for n in (1, 7, 8)]
-
-
 @query("event_keep", with_ctes("watched") + """
 SELECT event_id, path, CASE
-  WHEN regexp_matches(path, '^/home/u(1|7|8)/store/index\\.db([-.].*)?$') THEN false
+  WHEN regexp_extract(path, '^(.*/store)/', 1) IN (SELECT folder FROM stores) THEN false
   WHEN ends_with(path, '/.gitignore') THEN true
   ELSE event_type NOT IN ('view') END AS kept FROM watched""")
 def _(t):
-    return t.watched().select("event_id", "path", evt.keep(
-        "path", _STORES, F.col("event_type") != "view").alias("kept"))
+    return evt.with_kept(t.watched(), t.stores(), F.col("event_type") != "view").select(
+        "event_id", "path", "kept")
 
 
 def _owned_kept(t: Inputs) -> DataFrame:
-    kept = t.watched().filter(evt.keep("path", _STORES, F.col("event_type") != "view"))
+    kept = evt.with_kept(t.watched(), t.stores(), F.col("event_type") != "view").filter("kept")
     return evt.attribute(kept.select("event_id", "ts", "path"), t.projects())
 
 
-_BURST_SQL = """, kept AS (SELECT * FROM owned WHERE NOT regexp_matches(path, '^/home/u(1|7|8)/store/index\\.db([-.].*)?$')
+_BURST_SQL = """, kept AS (SELECT * FROM owned
+  WHERE regexp_extract(path, '^(.*/store)/', 1) NOT IN (SELECT folder FROM stores)
   AND (ends_with(path, '/.gitignore') OR event_type <> 'view')),
 flagged AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts, event_id) <= 300000000 THEN 0 ELSE 1 END
   AS fresh FROM kept),
