@@ -321,18 +321,18 @@ def _(t):
 
 # -- content --------------------------------------------------------------------
 
-@query("content_classify", with_ctes("docfiles", "raw", "layer") +
-       "SELECT path, size, mtime_ns, sha256, text, reason FROM layer")
+@query("content_classify", with_ctes("docfiles", "raw", "capped") +
+       "SELECT path, size, mtime_ns, sha256, text, reason FROM capped")
 def _(t):
-    return t.layer()
+    return t.capped()
 
 
-@query("content_tally", with_ctes("docfiles", "raw", "layer") + """
+@query("content_tally", with_ctes("docfiles", "raw", "capped") + """
 SELECT name, count(*) AS n FROM (
-  SELECT CASE WHEN reason IS NULL THEN 'read' ELSE 'unread' END AS name FROM layer
-  UNION ALL SELECT reason FROM layer WHERE reason IS NOT NULL) GROUP BY name""")
+  SELECT CASE WHEN reason IS NULL THEN 'read' ELSE 'unread' END AS name FROM capped
+  UNION ALL SELECT reason FROM capped WHERE reason IS NOT NULL) GROUP BY name""")
 def _(t):
-    return con.tally(t.layer())
+    return con.tally(t.capped())
 
 
 @query("nodes_distinct", with_ctes("docfiles", "content") + "SELECT DISTINCT sha256 FROM content")
