@@ -52,6 +52,33 @@ def test_the_network_is_trained_on_findings(spark):
     assert sc.learn(documents(spark, ODD[:4])) is None
 
 
+def test_pieces_cover_a_candidate_and_keys_far_behind_are_found(spark):
+    for n in (1, 39, 40, 41, 80, 81, 333):
+        own = sc.pieces(5, 5 + n)
+        assert own[0][0] == 5 and own[-1][1] == 5 + n and max(j - i for i, j in own) <= sc.INSIDE
+        assert set().union(*[range(*p) for p in own]) == set(range(5, 5 + n))
+    path = lambda i, n: ("/".join("srv%d/%s" % (i, text(k, 6).replace(" ", "/")) for k in range(i, i + 12)))[:n]
+    key = lambda i: hashlib.sha256(b"k%d" % i).hexdigest()[:40].upper()
+    rows = [(i, 'see %s now; secret = "%s" %s host%d.example.com/pathway longerwordswithoutdigits' % (
+        path(i, 220), hashlib.sha1(b"%d" % i).hexdigest(), text(i, 6), i)) for i in range(200)]
+    net = sc.learn(documents(spark, rows))
+    planted = {n: "see %s/%s end" % (path(900, n), key(n)) for n in (45, 90, 200)} | {3: "see a1." + key(3) + " end"}
+    for n, t in planted.items():
+        assert sc.base_spans(t) == [] and [s[0] for s in sc.all_spans([t], net)[0]] == ["network"], n
+    clean = ["see %s end" % path(700 + i, 220) for i in range(20)]
+    assert sum(map(len, sc.all_spans(clean, net))) == 0
+
+
+def test_one_finding_among_many_documents_is_learnt_wherever_it_stands(spark, monkeypatch):
+    """Findings come from all rows, and the network does not change with the layout."""
+    monkeypatch.setattr(sc, "FIT_DOCS", 20)
+    rows = [(i, text(i, 20) + " host%d.example.com/pathway" % i) for i in range(300)] + [(999, 'token = "%s"' % KEY)]
+    docs = documents(spark, rows)
+    nets = [sc.learn(docs.repartition(n)) for n in (1, 7)]
+    assert nets[0] is not None and nets[0].threshold == nets[1].threshold
+    assert all((a == b).all() for a, b in zip(nets[0].parts(), nets[1].parts(), strict=True))
+
+
 PAGE = ("<!DOCTYPE html><html><head><title>T &amp; T</title><script>var t='</p>';</script></head><body><nav><ul><li><a href='/a'>Home</a>"
         "</ul></nav><div class=ad>Buy %d now</div><article><h1>Head&nbsp;%d &lt;x&gt;</h1><p><b>First</b>line\n of  text %s.<br><p>Second %s"
         "</article><footer>&copy; us</footer>")
