@@ -1,7 +1,9 @@
+import glob
 import os
 import time
 
 import pytest
+from pyspark.errors import PySparkException
 
 from treegauge import Refused
 from treegauge.operators import embed
@@ -151,3 +153,65 @@ def test_commands_exit_with_what_happened(spark, tmp_path, capsys):
     assert "/p/f.md" in capsys.readouterr().out
     assert main(store + ["backfill", "--max-files", "0"]) == 3
     assert main(store + ["update", "nobody"]) == 2
+    assert main(store + ["search", "f", "--semantic", "--fused"]) == 2
+    capsys.readouterr()
+    assert main(store + ["status"]) == 0
+    assert '"layers": []' in capsys.readouterr().out
+
+
+def test_snapshots_verify_by_digest_and_retention_frees_the_rest(spark, tmp_path, monkeypatch):
+    from treegauge.operators import snapshots as sn
+
+    home = str(tmp_path / "home")
+    _put(home + "/p", "a.md", "one heron")
+    ws = Workspace(spark, str(tmp_path / "store"))
+    project = ws.add(home + "/p")
+    ws.scan(home)
+    ws.update(project)
+    path = home + "/p"
+    first = ws.snapshot(project)
+    assert ws.free() == []
+    ws.update(project)  # other versions; the first ones are the snapshot's
+    kept = ws.retire(project)
+    with pytest.raises(Refused):
+        ws.search("heron", project)  # released
+    assert ws.verify(first, project, path) and ws.verify(kept, project, path)
+
+    # A job that was lost says nothing about files.
+    def lost(layer):
+        raise PySparkException("Job aborted: executor 3 was lost")
+    with monkeypatch.context() as patch:
+        patch.setattr(sn, "digest", lost)
+        with pytest.raises(PySparkException):
+            ws.restore(project)
+
+    # A damaged file, one with other rows, and one that is gone are found; the older snapshot is taken.
+    content = ws.meta("snapshot:" + kept)["was:layer:content"]
+    part = glob.glob(content + "/*.parquet")[0]
+    with open(part, "rb") as handle:
+        whole = handle.read()
+    os.remove(glob.glob(content + "/.*.parquet.crc")[0])
+    with open(part, "wb") as handle:
+        handle.write(whole[:len(whole) // 2])
+    assert not ws.verify(kept, project, path)
+    spark.read.parquet(ws.meta("snapshot:" + first)["was:layer:content"]).selectExpr(
+        "* except (text)", "'two' as text").write.mode("overwrite").parquet(content)
+    assert not ws.verify(kept, project, path)
+    assert ws.restore(project) == first
+    assert ws.search("heron", project).count() == 1
+
+    # Outside the window nothing names the second versions any more.
+    ws.set_meta("snapshot:" + kept, dropped=1)
+    gone = ws.free()
+    assert {g.split("/")[1] for g in gone} == {"content", "links", "edges", "index"}
+    assert not os.path.exists(content) and ws.free() == []
+    assert ws.verify(first, project, path) and ws.search("heron", project).count() == 1
+
+
+def test_digests_tell_rows_places_of_nulls_and_repeats_apart(spark):
+    from treegauge.operators import snapshots as sn
+
+    make = lambda rows: sn.digest(spark.createDataFrame(rows, "a string, b string"))
+    rows = [("x", None), (None, "x"), ("y", "z")]
+    assert make(rows) == make(rows[::-1]) and make([]) == "0:0:0"
+    assert len({make(r) for r in (rows, rows[:2], rows + rows[:1], [rows[0]], [rows[1]], [("y", "w")])}) == 6

@@ -20,8 +20,10 @@ def _parser() -> argparse.ArgumentParser:
     parser.add_argument("--master")
     commands = parser.add_subparsers(dest="command", required=True)
     commands.add_parser("add").add_argument("path")
-    for name in ("status", "update", "snapshot", "stale"):
+    for name in ("update", "embed", "snapshot", "retire", "restore", "stale"):
         commands.add_parser(name).add_argument("project")
+    commands.add_parser("status").add_argument("project", nargs="?")
+    commands.add_parser("free")
     scan = commands.add_parser("scan")
     scan.add_argument("root")
     scan.add_argument("--deny", action="append", default=[])
@@ -31,7 +33,8 @@ def _parser() -> argparse.ArgumentParser:
     search = commands.add_parser("search")
     search.add_argument("query")
     search.add_argument("--project")
-    search.add_argument("--names", action="store_true")
+    for kind in ("--names", "--semantic", "--fused"):
+        search.add_argument(kind, action="store_true")
     watch = commands.add_parser("watch")
     watch.add_argument("project")
     watch.add_argument("--off", action="store_true")
@@ -49,7 +52,12 @@ def run(ws: Workspace, args: argparse.Namespace):
     if args.command == "backfill":
         return ws.backfill(args.max_files, args.dry_run)
     if args.command == "search":
-        return [r.asDict() for r in ws.search(args.query, args.project, args.names).collect()]
+        return [r.asDict() for r in ws.search(
+            args.query, args.project, args.names, args.semantic, args.fused).collect()]
+    if args.command == "free":
+        return ws.free()
+    if args.command == "status" and args.project is None:
+        return [r.asDict() for r in ws.overview().toLocalIterator()]
     if args.command == "stale":
         return [r["line"] for r in ws.stale(args.project).toLocalIterator()]
     if args.command == "update":

@@ -65,11 +65,11 @@ class Workspace:
         return dict(self._facts[store])
 
     def has(self, store: str, layer: str) -> bool:
-        return "layer:" + layer in self.meta(store)
+        return bool(self.meta(store).get("layer:" + layer))
 
     def read(self, store: str, layer: str) -> DataFrame:
         version = self.meta(store).get("layer:" + layer)
-        if version is None:
+        if not version:  # never written, or released
             raise Refused("%s of %s was never built" % (layer, store))
         return self.spark.read.parquet(version)
 
@@ -276,7 +276,7 @@ class Workspace:
 
     def _index(self, project: str) -> tuple[DataFrame, DataFrame]:
         version = self.meta(project).get("index")
-        if version is None:
+        if not version:
             raise Refused("the search index was never built; update first")
         return (self.spark.read.parquet(version + "/postings"),
                 self.spark.read.parquet(version + "/lengths"))
@@ -362,7 +362,7 @@ class Workspace:
         layer = self.read(project, "content")
         out["tally"] = {r["name"]: r["n"] for r in con.tally(layer).toLocalIterator()}
         out["freshness"] = freshness.tally(self.states(project)).first().asDict()
-        lengths = self._index(project)[1] if "index" in out else None
+        lengths = self._index(project)[1] if out.get("index") else None
         out["index"] = search.index_state(layer, lengths).first().asDict()
         out["embedded"] = self.embedding_coverage(project)
         out["in_scope"] = scope.scope_sizes(
@@ -372,6 +372,15 @@ class Workspace:
         out["ages"] = self.ages(project).first()["line"]
         return out
 
+    def overview(self) -> DataFrame:
+        """Every project with its state, the layers it has and when it was last updated."""
+        held = F.when(F.startswith("key", F.lit("layer:")) & (F.col("value") != ""), F.substring("key", 7, 64))
+        facts = self.meta_rows().groupBy("store").agg(
+            F.array_sort(F.collect_set(held)).alias("layers"),
+            F.max(F.when(F.col("key") == "last_update", F.col("value").cast("double"))).alias("last_update"))
+        return (self.projects().join(facts.withColumnRenamed("store", "project_id"), "project_id", "left")
+                .select("project_id", "path", "state", "watch", "layers", "last_update").orderBy("path", "project_id"))
+
     def neighbours(self, wanted: str, node: str, hops: int = 1):
         start = self.spark.createDataFrame([(node,)], "node string")
         reached, used = graph.neighbours(self.read(self.resolve(wanted), "edges"), start, hops)
@@ -408,27 +417,86 @@ class Workspace:
         self.set_meta(self.resolve(wanted), state=GONE)
 
     def snapshot(self, wanted: str) -> str:
-        """Freeze the current layers: their versions are immutable already."""
+        """Freeze the current layers: their versions are immutable already.
+
+        Rows and digest of each are written down, then everything is read
+        again against them.
+        """
         project = self.resolve(wanted)
         name = "%s@%d" % (project, time.time_ns())
-        current = {k: v for k, v in self.meta(project).items()}
-        self.set_meta("snapshot:" + name, of=project, taken_at=time.time(), **{
+        current = self.meta(project)
+        try:
+            seen = {"digest:" + k: snapshots.digest(self.spark.read.parquet(v)) for k, v in self._tables(current)}
+        except snapshots.FAILURES as problem:
+            if not snapshots.is_damage(problem):
+                raise
+            raise Refused("snapshot stopped at the take step: a layer does not read") from problem
+        self.set_meta("snapshot:" + name, of=project, taken_at=time.time(), **seen, **{
             "was:" + k: v for k, v in current.items()})
         if not self.verify(name, project, current["project_path"]):
-            raise Refused("the snapshot did not read back as this project")
+            self.set_meta("snapshot:" + name, dropped=1)
+            raise Refused("snapshot stopped at the verify step: it did not read back as this project")
         return name
 
+    def _tables(self, facts: dict[str, str]) -> list[tuple[str, str]]:
+        """(name, folder) of all tables that facts point at, those of the index too."""
+        out = [(k, v) for k, v in facts.items() if k.startswith("layer:") and v]
+        if facts.get("index"):
+            out += [("index:" + part, facts["index"] + "/" + part) for part in ("postings", "lengths")]
+        return out
+
     def verify(self, name: str, project: str, path: str) -> bool:
+        """All tables of a snapshot read back with the rows and digests that were written down.
+
+        False if a file is gone or does not read, or if other rows are in it.
+        Whatever else stops a job is raised: a lost executor damages nothing.
+        """
         facts = self.meta("snapshot:" + name)
-        if facts.get("was:project_id") != project or facts.get("was:project_path") != path:
+        was = {k[4:]: v for k, v in facts.items() if k.startswith("was:")}
+        if was.get("project_id") != project or was.get("project_path") != path:
             return False
         try:
-            for key, version in facts.items():
-                if key.startswith("was:layer:"):
-                    self.spark.read.parquet(version).limit(1).count()
-        except Exception:  # noqa: BLE001 - a layer is gone or broken
+            return all(snapshots.digest(self.spark.read.parquet(v)) == facts.get("digest:" + k)
+                       for k, v in self._tables(was))
+        except snapshots.FAILURES as problem:
+            if not snapshots.is_damage(problem):
+                raise
             return False
-        return True
+
+    def retire(self, wanted: str) -> str:
+        """Take, verify, then release: only what reads back lets go of the living layers.
+
+        A refusal names the step that stopped; until the last one the project
+        is as it was.  `restore` brings it back.
+        """
+        project = self.resolve(wanted)
+        name = self.snapshot(project)
+        points = [k for k in self.meta(project) if k.startswith("layer:") or k == "index"]
+        self.set_meta(project, state=GONE, **dict.fromkeys(points, ""))
+        return name
+
+    def free(self) -> list[str]:
+        """Remove every stored version that no living pointer and no kept snapshot names.
+
+        Files are listed and compared as rows; one folder is removed per
+        version.  Rows that were read from such a version before, and are
+        computed later, are gone with it.
+        """
+        self.refresh()
+        if not self._facts_written():
+            return []
+        stored = (self.spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+                  .load(self.folder + "/*/*/*").select("path"))
+        gone = [r["version"] for r in snapshots.unnamed_versions(stored, self.meta_rows()).toLocalIterator()]
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        for version in gone:
+            path = hadoop.Path(self.folder + "/" + version)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return sorted(gone)
+
+    def _facts_written(self) -> bool:
+        """Some pointer was ever written, so there are versions to list."""
+        return not self.meta_rows().filter(F.startswith("key", F.lit("layer:"))).isEmpty()
 
     def snapshots(self) -> DataFrame:
         """`project_id, snapshot_id, taken_at, living` of every snapshot."""
@@ -444,12 +512,13 @@ class Workspace:
             state, "project_id", "left").withColumn("living", F.coalesce("living", F.lit(False)))
 
     def apply_retention(self, now: float | None = None) -> list[str]:
-        """Forget snapshots outside the window; their files are left to cleaning."""
+        """Forget snapshots outside the window, and free what nothing names then."""
         at = F.timestamp_seconds(F.lit(time.time() if now is None else now))
         gone = [r["snapshot_id"] for r in snapshots.retention(self.snapshots(), at)
                 .filter(~F.col("keep")).select("snapshot_id").toLocalIterator()]
         for name in gone:
             self.set_meta("snapshot:" + name, dropped=1)
+        self.free()
         return gone
 
     def expiring(self, now: float | None = None) -> DataFrame:
