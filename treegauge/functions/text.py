@@ -137,10 +137,14 @@ _SPLITS = (r"[0-9A-Za-z][_.\-/]+[0-9A-Za-z]|[a-z][A-Z]|[A-Za-z][0-9]"
            r"|[0-9][A-Za-z]|[A-Z][A-Z][a-z]")
 
 
+#: A whole word that comes apart; words of small letters, but for the first, are passed over at once.
+_SPLITTABLE = (r"(?<![0-9A-Za-z_.\-/])(?![A-Z]?[a-z]*+(?![0-9A-Za-z_.\-/]))"
+               r"(?=[0-9A-Za-z_.\-/]*?(?:%s))[0-9A-Za-z_.\-/]++" % _SPLITS)
+
+
 def splittable_words(text) -> Column:
     """Every word occurrence of `text` that comes apart."""
-    return F.filter(F.regexp_extract_all(_col(text), F.lit(WORD), F.lit(0)),
-                    lambda w: F.rlike(w, F.lit(_SPLITS)))
+    return F.regexp_extract_all(_col(text), F.lit(_SPLITTABLE), F.lit(0))
 
 
 def split_identifier(word) -> Column:

@@ -13,9 +13,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 
 from ..functions import text as X
+from ..functions.places import places
 from ..session import cut_lineage
 from .search import _idf, _moved_back, _weight, prepared
 
@@ -38,55 +41,56 @@ def _numbered(content: DataFrame, parts: int | None) -> DataFrame:
     return dealt.sortWithinPartitions("dl", "path").withColumn("id", F.monotonically_increasing_id())
 
 
-def _places(form: str) -> dict[str, list[int]]:
-    out: dict[str, list[int]] = {}
-    for i, token in enumerate(form.split()):
-        out.setdefault(token, []).append(i)
-    return out
+def _blocks_of(docs: list[pa.RecordBatch], number: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The blocks of one range from its documents `path, t, s, dl, id`."""
+    path, t, s, dl, ids = (pa.concat_arrays([d.column(k) for d in docs]) for k in range(5))
+    place, dl = (ids.to_numpy() % RANGE).astype(np.int32), dl.to_numpy().astype(np.int32)
+    whole = pa.array([0, len(place)], pa.int32())
+    yield pa.RecordBatch.from_arrays([
+        pa.array([""]), pa.array([number]), pa.array([len(place)], pa.int32()), pa.array([0], pa.int32()),
+        pa.array([dl.min()], pa.int32()), pa.ListArray.from_arrays(whole, pa.array(place)),
+        pa.ListArray.from_arrays(whole, pa.array(dl)), pa.nulls(1, schema.field("t").type),
+        pa.nulls(1, schema.field("s").type), pa.ListArray.from_arrays(whole, path.cast(pa.string()))], schema=schema)
+    terms, code, row, in_text, in_symbols = places(t, s)
+    first = np.flatnonzero(np.diff(code, prepend=-1))
+    if not len(first):
+        return
+    tf = sum(np.diff(lists.offsets.to_numpy()) for lists in (in_text, in_symbols))
+    edges = np.append(first, len(code)).astype(np.int32)
+    made = pa.RecordBatch.from_arrays([
+        terms.take(pa.array(code[first])).cast(pa.string()), pa.array(np.full(len(first), number)),
+        pa.array(np.diff(edges)), pa.array(np.maximum.reduceat(tf, first)),
+        pa.array(np.minimum.reduceat(dl[row], first)), *[pa.ListArray.from_arrays(pa.array(edges), lists) for lists in (
+            pa.array(place[row]), pa.array(dl[row]), in_text, in_symbols)],
+        pa.nulls(len(first), schema.field("path").type)], schema=schema)
+    for i in range(0, len(first), 4096):
+        yield made.slice(i, 4096)
 
 
 def blocks(content: DataFrame, parts: int | None = None) -> DataFrame:
     """One row per term and range, and one with the empty term for the documents of the range.
 
-    Terms meet their places inside the row; only finished blocks go on.
+    Terms meet their places for all documents of a range at once; only
+    finished blocks go on.
     """
-    import pyarrow as pa
-
     numbers = pa.list_(pa.int32())
     schema = pa.schema([("term", pa.string()), ("range", pa.int64()), ("n", pa.int32()), ("max_tf", pa.int32()),
                         ("min_dl", pa.int32()), ("place", numbers), ("dl", numbers), ("t", pa.list_(numbers)),
                         ("s", pa.list_(numbers)), ("path", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, docs, terms = None, [], {}
-
-        def done() -> Iterator[pa.RecordBatch]:
-            rows = [("", now, len(docs), 0, docs[0][1], [p for p, _, _ in docs], [d for _, d, _ in docs],
-                     None, None, [path for _, _, path in docs])]
-            for term, held in terms.items():
-                place, dl, t, s = (list(c) for c in zip(*held, strict=True))
-                rows.append((term, now, len(held), max(len(a) + len(b) for a, b in zip(t, s, strict=True)),
-                             min(dl), place, dl, t, s, None))
-            for i in range(0, len(rows), 4096):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, f.type) for c, f in zip(zip(*rows[i:i + 4096], strict=True), schema, strict=True)],
-                    schema=schema)
-
+        now, docs = None, []
         for batch in batches:
-            for i in range(batch.num_rows):
-                path, t, s, dl, number = (batch.column(k)[i].as_py() for k in range(5))
-                if number // RANGE != now:
-                    if docs:
-                        yield from done()
-                    now, docs, terms = number // RANGE, [], {}
-                place = number % RANGE
-                docs.append((place, dl, path))
-                in_text, in_symbols = _places(t), _places(s)
-                for term in in_text | in_symbols:
-                    terms.setdefault(term, []).append(
-                        (place, dl, in_text.get(term, []), in_symbols.get(term, [])))
+            ranges = batch.column(4).to_numpy() // RANGE
+            edges = np.append(np.flatnonzero(np.diff(ranges, prepend=-1)), len(ranges)).tolist()
+            for a, b in zip(edges, edges[1:]):
+                if docs and ranges[a] != now:
+                    yield from _blocks_of(docs, int(now), schema)
+                    docs = []
+                now = ranges[a]
+                docs.append(batch.slice(a, b - a))
         if docs:
-            yield from done()
+            yield from _blocks_of(docs, int(now), schema)
 
     return _numbered(content, parts).select("path", "t", "s", "dl", "id").mapInArrow(run, _BLOCKS)
 
