@@ -81,10 +81,11 @@ def holders(questions: DataFrame, docs: DataFrame) -> DataFrame:
     found = met.join(asked.select("qid", "query"), "qid").join(docs.select("path", "text"), "path").filter(
         F.contains("text", "query")).select("qid", F.col("path").alias("target"))
     bare = asked.join(short.filter("n = 0").select("qid"), "qid", "left_semi").select("qid", "query")
-    if bare.isEmpty():
-        return found
-    return found.unionByName(docs.join(bare, F.contains("text", "query")).select(
-        "qid", F.col("path").alias("target")))
+    if not bare.isEmpty():
+        found = found.unionByName(docs.join(bare, F.contains("text", "query")).select(
+            "qid", F.col("path").alias("target")))
+    # Narrow rows that are asked for more than once; the texts are gone through once.
+    return cut_lineage(found)
 
 
 def scored(pairs: DataFrame, gold: DataFrame, corpus: DataFrame, lexical: DataFrame,
@@ -166,19 +167,20 @@ def splitting_recall(content: DataFrame, asked: DataFrame) -> DataFrame:
     """`cause, queries, with_symbols, without_symbols`: split queries with a hit.
 
     All words of a query must occur in one document; without the symbols
-    column only the text may supply them.  Tokens of the asked words are made
-    one row per (word, document) first, then combined per (query, document).
+    column only the text may supply them.  Documents are told apart only by
+    which of the asked words they hold, so the words, which every task
+    carries, meet each such set once.
     """
-    from .search import token_rows
-
-    words = asked.select("cause", "query", F.explode(F.array_distinct(F.split("query", " ", -1)))
-                         .alias("term"))
-    needed = asked.select("cause", "query", F.size(F.array_distinct(F.split("query", " ", -1)))
-                          .alias("needed"))
-    index = token_rows(content).join(words.select("term").distinct(), "term", "left_semi")
-    per_doc = index.groupBy("term", "path").agg(
-        F.bool_or(F.col("col") == "text").alias("in_text"))
-    per_query = (words.join(per_doc, "term").groupBy("cause", "query", "path")
+    from .search import term_sets
+
+    asked = cut_lineage(asked.select("cause", "query", F.array_distinct(F.split("query", " ", -1)).alias("words")))
+    words = asked.select("cause", "query", F.explode("words").alias("term"))
+    terms = [r["term"] for r in words.select("term").distinct().orderBy("term").collect()]
+    place = content.sparkSession.createDataFrame(list(enumerate(terms)), "place int, term string")
+    words = cut_lineage(words.join(place, "term").select("cause", "query", "place"))
+    needed = asked.select("cause", "query", F.size("words").alias("needed"))
+    held = term_sets(content, terms).withColumn("id", F.monotonically_increasing_id()).select("id", F.inline("found"))
+    per_query = (held.join(F.broadcast(words), "place").groupBy("cause", "query", "id")
                  .agg(F.count(F.lit(1)).alias("any_n"), F.count_if("in_text").alias("text_n")))
     best = per_query.groupBy("cause", "query").agg(
         F.max("any_n").alias("any_n"), F.max("text_n").alias("text_n"))

@@ -7,15 +7,24 @@ rows of its own terms.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from ..functions import text as X
+from ..functions.places import places, stretches
 from ..session import cut_lineage
 
 # The ranking parameters and the floor of the term weight.
 K1 = 1.2
 B = 0.75
 IDF_FLOOR = 1e-6
+#: Asked terms that one pass over the text looks for.
+ASKED = 50_000
 
 
 def prepared(content: DataFrame) -> DataFrame:
@@ -205,36 +214,93 @@ def query_terms(queries: DataFrame) -> DataFrame:
                     F.posexplode("found.parts").alias("offset", "term")))
 
 
+def _asked(terms: DataFrame) -> list[pa.Array]:
+    """The distinct terms of questions, in blocks that a task carries."""
+    asked = [r["term"] for r in terms.select("term").distinct().orderBy("term").toLocalIterator()]
+    return [pa.array(asked[i:i + ASKED], pa.string()) for i in range(0, max(1, len(asked)), ASKED)]
+
+
+def _measured(content: DataFrame) -> DataFrame:
+    return prepared(content).select("path", "t", "s", (X.token_count("t") + X.token_count("s")).alias("dl"))
+
+
 def asked_positions(content: DataFrame, terms: DataFrame) -> DataFrame:
     """`term, path, t, s, dl`: positions of the asked terms, and per document its length.
 
-    One pass over the text.  A row with the empty term stands for each
-    document; the others are inner joined inside the scan's stage where the
-    asked terms are few, so tokens that nobody asks for go no further.
+    A row with the empty term stands for each document.  A document's terms
+    meet their positions inside its row, and tokens that nobody asks for go no
+    further, so nothing is shuffled.  Over ASKED terms the text is read once
+    more for each block of them.  A path is one row of the content.
     """
-    asked = terms.select("term").distinct().unionByName(
-        content.sparkSession.createDataFrame([("",)], "term string"))
-    forms = prepared(content).select("path", X.tokens("t").alias("t"), X.tokens("s").alias("s"))
-
-    def numbered(name: str, col: int) -> Column:
-        return F.transform(name, lambda w, i: F.struct(
-            w.alias("term"), F.lit(col).alias("col"), i.alias("pos")))
-
-    itself = F.struct(F.lit("").alias("term"), F.lit(0).alias("col"), F.lit(0).alias("pos"))
-    every = F.concat(F.array(itself), numbered("t", 0), numbered("s", 1))
-    rows = forms.select("path", (F.size("t") + F.size("s")).alias("dl"),
-                        F.explode(every).alias("e")).select("path", "dl", "e.*")
-    met = rows.join(asked, "term", "left_semi")
+    numbers = pa.list_(pa.int32())
+
+    def of(wanted: pa.Array, first: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in stretches(batch, "t", "s"):
+                    path, t, s, dl = part.columns
+                    if first:
+                        empty = pa.array([[]] * len(path), numbers)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([""] * len(path)), path, empty, empty, dl], ["term", "path", "t", "s", "dl"])
+                    names, code, row, in_text, in_symbols = places(t, s, wanted)
+                    row = pa.array(row)
+                    yield pa.RecordBatch.from_arrays(
+                        [names.take(pa.array(code)), path.take(row), in_text, in_symbols, dl.take(row)],
+                        ["term", "path", "t", "s", "dl"])
+
+        return _measured(content).mapInArrow(run, "term string, path string, t array<int>, s array<int>, dl int")
+
+    return reduce(DataFrame.unionByName, [of(wanted, i == 0) for i, wanted in enumerate(_asked(terms))])
+
+
+def term_sets(content: DataFrame, terms: list[str]) -> DataFrame:
+    """`found`: the distinct sets of the given terms that documents hold, as `(place, in_text)` of the list."""
+    listed = pa.array(terms, pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in stretches(batch, "t", "s"):
+                names, code, row, in_text, _ = places(part.column(0), part.column(1), listed)
+                place = pc.index_in(names, value_set=listed.cast(names.type)).to_numpy(zero_copy_only=False)[code]
+                held = 2 * place.astype(np.int64) + (np.diff(in_text.offsets.to_numpy()) > 0)
+                order = np.lexsort((held, row))
+                edges = np.flatnonzero(np.diff(row[order], prepend=-1))
+                sets = {tuple(own.tolist()) for own in np.split(held[order], edges[1:]) if len(own)}
+                yield pa.RecordBatch.from_arrays([pa.array(
+                    [[{"place": h // 2, "in_text": bool(h % 2)} for h in own] for own in sorted(sets)],
+                    pa.list_(pa.struct([("place", pa.int32()), ("in_text", pa.bool_())])))], ["found"])
+
+    return prepared(content).select("t", "s").mapInArrow(
+        run, "found array<struct<place:int,in_text:boolean>>").distinct()
+
+
+def term_stats(content: DataFrame) -> DataFrame:
+    """`term, docs, uses`: in how many documents a term is, and how often in all.
+
+    Rows are counted a few megabytes at a time before they are shuffled, one
+    row per term and task.  If rows share a path, `postings` tells which they are.
+    """
+    paths = content.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if not paths.isEmpty():
+        return postings(content).groupBy("term").agg(
+            F.count_distinct("path").alias("docs"), F.sum(F.size("positions")).alias("uses"))
 
-    def places(col: int) -> Column:
-        return F.array_sort(F.collect_list(F.when(F.col("col") == col, F.col("pos"))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in stretches(batch, "t", "s"):
+                names, code, _, in_text, in_symbols = places(part.column(0), part.column(1))
+                uses = sum(np.diff(lists.offsets.to_numpy()) for lists in (in_text, in_symbols))
+                yield pa.RecordBatch.from_arrays(
+                    [names, pa.array(np.bincount(code, minlength=len(names)).astype(np.int64)),
+                     pa.array(np.bincount(code, uses, len(names)).astype(np.int64))], ["term", "docs", "uses"])
 
-    return met.groupBy("term", "path").agg(places(0).alias("t"), places(1).alias("s"),
-                                           F.first("dl").alias("dl"))
+    return prepared(content).select("t", "s").mapInArrow(run, "term string, docs bigint, uses bigint").groupBy(
+        "term").agg(F.sum("docs").alias("docs"), F.sum("uses").alias("uses"))
 
 
 def search_many(content: DataFrame, queries: DataFrame, depth: int | None = 50) -> DataFrame:
-    """`qid, path, rank, position` for a table of queries.
+    """`qid, path, rank, position` for a table of queries; all hits without a `depth`.
 
     The corpus is tokenised once; what is written down is, per asked term and
     document, the positions, and per document its length.  Only documents that
@@ -265,16 +331,13 @@ def search_many(content: DataFrame, queries: DataFrame, depth: int | None = 50)
     score = -F.col("times") * _idf(corpus["n"], F.col("df")) * _weight(
         F.col("tf"), F.col("dl"), corpus["avgdl"])
     hits = (hit.join(sizes, "path").withColumn("score", score).groupBy("qid", "path")
-            .agg(F.sort_array(F.collect_list(F.struct("phrase", "score"))).alias("parts"))
+            .agg(F.sort_array(F.collect_list("score")).alias("parts"))
             .join(needed, "qid").filter(F.size("parts") == F.col("n_phrases"))
-            # Added in phrase order: copies of a document tie exactly.
-            .withColumn("rank", F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["score"])))
-    if depth is None:
-        return hits.select("qid", "path", "rank")
+            # Added by size: documents whose phrases score the same in any order tie exactly.
+            .withColumn("rank", F.aggregate("parts", F.lit(0.0), lambda a, p: a + p)))
     order = Window.partitionBy("qid").orderBy("rank", "path")
-    return (hits.withColumn("position", F.row_number().over(order))
-            .filter(F.col("position") <= depth)
-            .select("qid", "path", "rank", "position"))
+    hits = hits.withColumn("position", F.row_number().over(order)).select("qid", "path", "rank", "position")
+    return hits if depth is None else hits.filter(F.col("position") <= depth)
 
 
 def _phrase_counts(known: DataFrame, found: DataFrame) -> DataFrame | None:
