@@ -189,3 +189,16 @@ def test_name_search_and_mounts(spark, rows):
     got = dict(rows(cat.mount_of(files.select("path"), mounts)))
     assert got == {"/a/Red_File.md": "btrfs", "/a/redXfile.md": "btrfs", "/a/b/red_file": "tmp", "/a/x": "btrfs"}
     assert cat.knows(files, "/a/b") and not cat.knows(files, "/a/r")
+
+
+def test_no_folder_over_all_files_meets_one_task(spark):
+    """Trees are matched by combined rows: the files of a folder are not joined with it by its name."""
+    files = spark.range(400).selectExpr("concat('/r/d', id div 2, '/', id % 2) AS path", "'file' AS kind", "id AS size",
+                                        "1 AS dev", "id AS inode")
+    dirs = spark.range(200).selectExpr("concat('/r/d', id) AS path", "'dir' AS kind", "0L AS size", "1 AS dev", "id AS inode")
+    projects = spark.range(200).selectExpr("id AS project_id", "concat('/gone/d', id) AS path", "1 AS root_dev", "id AS root_inode")
+    content = files.selectExpr("size div 2 AS project_id", "concat('/gone/d', size div 2) AS root",
+                               "concat('/gone/d', size div 2, '/', size % 2) AS path", "size")
+    got = idn.recognise(projects, content, files.unionByName(dirs))
+    assert "_lookup_dir" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["verdict"], r["by"], r["path"] == "/r/d%d" % r["project_id"]) for r in got.collect()} == {("move", "inode", True)}

@@ -79,21 +79,16 @@ def verdict(old_here: Column, new_here: Column) -> Column:
 def _matching(projects: DataFrame, content: DataFrame, files: DataFrame) -> DataFrame:
     """Per missing project: how many directories hold its tree, and the first.
 
-    Directories are first compared by file count and bytes, which costs no
-    hashing; only those that agree with some project are fingerprinted.  Trees
-    with many copies are counted per fingerprint before they meet a project,
-    so no pair of project and copy is ever made.
+    Every directory is fingerprinted where its files are listed, and what is
+    shuffled is one combined row per task and directory: no folder over all
+    files comes to one task.  Trees with many copies are counted per
+    fingerprint before they meet a project, so no pair of project and copy is
+    ever made.
     """
     mine = project_fingerprints(content)
     dirs = files.filter(F.col("kind") == DIR).select(
         F.col("path").alias("dir"), "dev", "inode")
-    sizes = (files.filter(F.col("kind") == FILE)
-             .select("size", F.explode(P.ancestors("path")).alias("dir"))
-             .groupBy("dir").agg(F.count(F.lit(1)).alias("files"),
-                                 F.sum("size").alias("bytes")))
-    alike = sizes.join(mine.select("files", "bytes").distinct(),
-                       ["files", "bytes"], "left_semi").select("dir")
-    prints = tree_fingerprints(files, alike).select("dir", "fingerprint").join(dirs, "dir")
+    prints = tree_fingerprints(files).select("dir", "fingerprint").join(dirs, "dir")
     by_print = prints.groupBy("fingerprint").agg(
         F.count(F.lit(1)).alias("n_print"), F.min("dir").alias("print_dir"))
     by_inode = prints.groupBy("fingerprint", "dev", "inode").agg(
