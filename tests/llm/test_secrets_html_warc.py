@@ -79,6 +79,43 @@ def test_one_finding_among_many_documents_is_learnt_wherever_it_stands(spark, mo
     assert all((a == b).all() for a, b in zip(nets[0].parts(), nets[1].parts(), strict=True))
 
 
+
+def test_all_pieces_of_all_documents_are_learnt_from(spark, monkeypatch):
+    """What is no finding stands in one of 300 documents only, and each part of the training has it."""
+    monkeypatch.setattr(sc, "FIT_DOCS", 20)
+    rows = [(i, 'token = "%s"' % hashlib.sha1(b"%d" % i).hexdigest()) for i in range(300)]
+    for place in (7, 123, 288):
+        alone = [*rows[:place], (place, "longerwordswithoutdigits alone"), *rows[place + 1:]]
+        net = sc.learn(documents(spark, alone))
+        assert net is not None and net.threshold >= 0.5
+        bad = sc.window(alone[place][1], 0, 24)
+        good = [sc.window(t, *span) for i, t in alone if i != place for span in sc.candidates(t)]
+        assert net.scores([bad])[0] < 0.5 and (net.scores(good) >= net.threshold).mean() >= sc.RECALL
+
+
+def test_parts_of_the_training_are_whole_however_batches_are_cut():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    part = np.sort(rng.integers(0, 4, 90)).astype(np.int32)
+    kind = np.concatenate([np.sort(rng.integers(0, 3, (part == p).sum())) for p in range(4)]).astype(np.int32)
+    mark, codes = rng.integers(-2**62, 2**62, 90), rng.integers(0, 256, (90, sc.LENGTH)).astype(np.uint8)
+    whole = pa.RecordBatch.from_arrays([pa.array(part), pa.array(kind), pa.array(mark), pa.array(list(map(bytes, codes)))],
+                                       ["part", "kind", "mark", "codes"])
+    for step in (1, 7, 90):
+        got = list(sc._parts_of(whole.slice(i, step) for i in range(0, 90, step)))
+        assert len(got) == len(np.unique(part))
+        for p, own in zip(np.unique(part), got, strict=True):
+            assert [len(own[0]), *map(len, own[1:])] == [3 * ((part == p) & (kind == 0)).sum(), *[((part == p) & (kind == k)).sum() for k in (1, 2)]]
+            assert (own[2] == codes[(part == p) & (kind == sc.WORD)]).all()
+    assert sc.steps_of([41, 0, 0]) == 2 and sc.steps_of([1, 1, 193]) == 2
+
+
+def test_long_words_are_runs_of_letters():
+    t = "abcdefghijkl abcdefghijk éééééééééééé漢字 a1bcdefghijklmn_opqrstuvwxyzab\x1cABCDEFGHIJKLMNO"
+    assert sc.long_words(t) == [m.span() for m in re.finditer(r"[^\W\d_]{12,}", t)] and sc.long_words("") == []
+
 PAGE = ("<!DOCTYPE html><html><head><title>T &amp; T</title><script>var t='</p>';</script></head><body><nav><ul><li><a href='/a'>Home</a>"
         "</ul></nav><div class=ad>Buy %d now</div><article><h1>Head&nbsp;%d &lt;x&gt;</h1><p><b>First</b>line\n of  text %s.<br><p>Second %s"
         "</article><footer>&copy; us</footer>")
