@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -47,6 +48,17 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     assert sorted((r["doc_id"], r["item_id"]) for r in dc.contaminated(documents(spark, rows), bench).collect()) == sorted(planted)
 
 
+def test_no_copies_of_the_latent_space_stay(spark):
+    rows, items, planted = _tables(spark)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    docs = documents(spark, rows)
+    own = spark.sparkContext._temp_dir
+    before = set(os.listdir(own))
+    clean = dc.without_contaminated(docs, bench)
+    assert [n for n in set(os.listdir(own)) - before if os.path.getsize(os.path.join(own, n)) > 1 << 20] == []
+    assert sorted(r["doc_id"] for r in clean.collect()) == sorted(i for i, _ in rows if i not in {p[0] for p in planted})
+
+
 def test_hashes_and_common_subsequence():
     h, bounds = dc.hashed([b"The cat. THE  dog", b"", b"cat"])
     assert np.diff(bounds).tolist() == [4, 0, 1] and h[0] == h[2] and h[1] == h[4]

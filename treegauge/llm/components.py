@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from treegauge.joins import lookup
+from treegauge.session import for_one_action
 
 from .common import settle
 
@@ -23,8 +24,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = settle(_downward(edges.select(F.col("a").cast("long"), F.col("b").cast("long"))))
     before = None
     for _ in range(ROUNDS):
-        state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")),
-                        F.sum(F.col("b").cast("decimal(38,0)"))).first()
+        state = for_one_action(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")),
+                                       F.sum(F.col("b").cast("decimal(38,0)")))).collect()
         if state == before:
             break
         before = state
