@@ -2,7 +2,7 @@ import os
 import random
 
 import numpy as np
-from support import ODD, documents, text
+from support import ODD, documents, text, words
 
 import corpus_pipeline
 from treegauge.llm import decontaminate as dc
@@ -136,3 +136,36 @@ def test_rare_foreign_words_do_not_hide_an_item():
         return [h[:2] for h in dc.Searcher(items, space).hits(hosts)]
     assert sorted(found(dc.search_weights_of(counts))) == [(i, i) for i in range(20)]
     assert len(found(dc.weights_of(counts))) < 10
+
+
+def test_the_latent_space_is_fitted_on_the_passages_of_all_documents(spark):
+    rng = np.random.default_rng(3)
+    vocabulary = words(77, 400)
+    chances = 1 / np.arange(1, 401)
+    texts = [" ".join(vocabulary[k] for k in rng.choice(400, n, p=chances / chances.sum()))
+             for n in rng.integers(1, 12, 7000)] + [" ".join(vocabulary * 3), "same " * 40_000, "", None]
+    docs = documents(spark, list(enumerate(texts))).repartition(7)
+    kept = dc.kept_passages(docs)
+    counts = dc.frequencies(kept)
+    rows = dc.passages(*dc.hashed([(t or "").encode() for t in texts]))
+    numbers = np.unique(rows[rows < dc.BUCKETS])
+    assert counts[dc.BUCKETS] == len(rows)
+    # The same by dense matrices over the buckets that occur.
+    words_in = np.stack([(rows == n).sum(1) for n in numbers], axis=1)
+    assert counts[numbers].tolist() == (words_in > 0).sum(0).tolist()
+    weight = dc.search_weights_of(counts)
+    share = words_in * weight[numbers]
+    share /= np.sqrt((words_in * weight[numbers] ** 2).sum(1, keepdims=True))
+    block = dc._orthogonal(np.random.default_rng(42).standard_normal(
+        (dc.BUCKETS, dc.LATENT + dc.EXTRA), np.float32)).astype(np.float64)
+    for _ in range(dc.POWER + 1):
+        last, block = block, np.zeros_like(block)
+        block[numbers] = share.T @ (share @ last[numbers])
+        product, block = block, np.linalg.qr(block)[0]
+    squares, turn = np.linalg.eigh(last.T @ product)
+    want = last @ turn[:, np.argsort(-squares)[1:dc.LATENT + 1]]
+    rest = np.random.default_rng(43).standard_normal(want.shape, np.float32)
+    rest *= np.sqrt((1 - (want ** 2).sum(1)) / (rest ** 2).sum(1))[:, None]
+    got = dc.latent_space(kept, counts) / weight[:, None] - rest
+    # Directions have no sign.
+    assert np.abs(np.abs((got[numbers] * want[numbers]).sum(0)) - 1).max() < 0.01
