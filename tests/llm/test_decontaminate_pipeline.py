@@ -138,20 +138,20 @@ def test_rare_foreign_words_do_not_hide_an_item():
     assert len(found(dc.weights_of(counts))) < 10
 
 
-def test_the_latent_space_is_fitted_on_the_passages_of_all_documents(spark):
+def _more_than_a_sample():
     rng = np.random.default_rng(3)
     vocabulary = words(77, 400)
     chances = 1 / np.arange(1, 401)
-    texts = [" ".join(vocabulary[k] for k in rng.choice(400, n, p=chances / chances.sum()))
-             for n in rng.integers(1, 12, 7000)] + [" ".join(vocabulary * 3), "same " * 40_000, "", None]
-    docs = documents(spark, list(enumerate(texts))).repartition(7)
-    kept = dc.kept_passages(docs)
-    counts = dc.frequencies(kept)
+    return [" ".join(vocabulary[k] for k in rng.choice(400, n, p=chances / chances.sum()))
+            for n in rng.integers(1, 12, 7000)] + [" ".join(vocabulary * 3), "same " * 40_000, "", None]
+
+
+def _assert_fitted_on_all(space, counts, texts):
+    """The same fit by dense matrices over the buckets that occur."""
     rows = dc.passages(*dc.hashed([(t or "").encode() for t in texts]))
     numbers = np.unique(rows[rows < dc.BUCKETS])
-    assert counts[dc.BUCKETS] == len(rows)
-    # The same by dense matrices over the buckets that occur.
     words_in = np.stack([(rows == n).sum(1) for n in numbers], axis=1)
+    assert counts[dc.BUCKETS] == len(rows)
     assert counts[numbers].tolist() == (words_in > 0).sum(0).tolist()
     weight = dc.search_weights_of(counts)
     share = words_in * weight[numbers]
@@ -166,6 +166,61 @@ def test_the_latent_space_is_fitted_on_the_passages_of_all_documents(spark):
     want = last @ turn[:, np.argsort(-squares)[1:dc.LATENT + 1]]
     rest = np.random.default_rng(43).standard_normal(want.shape, np.float32)
     rest *= np.sqrt((1 - (want ** 2).sum(1)) / (rest ** 2).sum(1))[:, None]
-    got = dc.latent_space(kept, counts) / weight[:, None] - rest
+    got = space / weight[:, None] - rest
     # Directions have no sign.
     assert np.abs(np.abs((got[numbers] * want[numbers]).sum(0)) - 1).max() < 0.01
+
+
+def test_the_latent_space_is_fitted_on_the_passages_of_all_documents(spark):
+    texts = _more_than_a_sample()
+    kept = dc.kept_passages(documents(spark, list(enumerate(texts))).repartition(7))
+    counts = dc.frequencies(kept)
+    _assert_fitted_on_all(dc.latent_space(kept, counts), counts, texts)
+
+
+def test_the_stage_fits_on_all_of_its_documents(spark, tmp_path, monkeypatch):
+    texts = _more_than_a_sample()
+    given = {}
+    for name in ("frequencies", "latent_space"):
+        def keeping(*args, name=name, real=getattr(dc, name)):
+            given[name] = real(*args)
+            return given[name]
+        monkeypatch.setattr(dc, name, keeping)
+    spark.createDataFrame([(1, text(40, 30))], "item_id bigint, text string").write.parquet(
+        str(tmp_path) + "/benchmark.parquet")
+    docs = documents(spark, list(enumerate(texts)))
+    assert corpus_pipeline.without_benchmark(spark, docs, str(tmp_path)).count() == len(texts)
+    _assert_fitted_on_all(given["latent_space"], given["frequencies"], texts)
+
+
+def test_products_of_passages_are_those_of_dense_matrices():
+    rng = np.random.default_rng(6)
+    for chosen in (40, 3000, dc.BUCKETS):
+        sizes = rng.integers(1, dc.PASSAGE + 1, 3000).astype(np.uint8)
+        buckets = (rng.zipf(1.3, int(sizes.sum())) % chosen).astype(np.uint16)
+        weight, block = rng.random(dc.BUCKETS, np.float32), rng.standard_normal((dc.BUCKETS, 5), np.float32)
+        total = np.ones((dc.BUCKETS, 5), np.float32)
+        dc.add_products(total, buckets, sizes, weight, block)
+        met, place = np.unique(buckets, return_inverse=True)
+        share = np.zeros((len(sizes), len(met)))
+        passage = np.repeat(np.arange(len(sizes)), sizes)
+        np.add.at(share, (passage, place), weight[buckets])
+        share /= np.sqrt(np.bincount(passage, weight[buckets].astype(np.float64) ** 2))[:, None]
+        want = np.ones((dc.BUCKETS, 5))
+        want[met] += share.T @ (share @ block[met])
+        assert np.abs(total - want).max() < 1e-4 * np.abs(want).max()
+
+
+def test_hashes_of_words_of_any_length():
+    rng = random.Random(4)
+    texts = [b"", *(bytes(rng.choice(b"abZ09 \xc3\xa9.") for _ in range(rng.randrange(300))) for _ in range(50)),
+             b" ".join(b"w" * n for n in (1, 31, 32, 33, 64, 65, 127, 128, 300))]
+    got, bounds = dc.hashed(texts)
+    want = []
+    for t in texts:
+        folded = bytes(dc._FOLD[np.frombuffer(t, np.uint8)])
+        for w in folded.replace(b"\0", b" ").split(b" "):
+            if w:
+                h = sum((c + 1) * int(dc._POWERS[i & 63]) for i, c in enumerate(w)) % (1 << 64)
+                want.append((h ^ h >> 29) * 0xBF58476D1CE4E5B9 % (1 << 64))
+    assert got.tolist() == want and bounds[-1] == len(want) and len(bounds) == len(texts) + 1
