@@ -178,6 +178,17 @@ def test_the_latent_space_is_fitted_on_the_passages_of_all_documents(spark):
     _assert_fitted_on_all(dc.latent_space(kept, counts), counts, texts)
 
 
+def test_the_layout_of_the_rows_changes_no_cosine(spark):
+    rows, items, planted = _tables(spark)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    docs = documents(spark, rows)
+    some = [sorted((r["doc_id"], r["item_id"], r["cosine"]) for r in dc.contaminated(d, bench).collect())
+            for d in (docs.coalesce(1), docs.repartition(3, "doc_id"), docs.repartition(7, "text"))]
+    for other in some:
+        assert [r[:2] for r in other] == sorted(planted)
+        assert max(abs(a[2] - b[2]) for a, b in zip(some[0], other, strict=True)) < 1e-4
+
+
 def test_the_stage_fits_on_all_of_its_documents(spark, tmp_path, monkeypatch):
     texts = _more_than_a_sample()
     given = {}
